@@ -152,6 +152,11 @@ def below(nodes: Column, node: Column) -> Column:
     return F.slice(nodes, node["pos"] + 2, node["last"] - node["pos"])
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Compute ``value`` once and use it several times inside one expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def find(nodes: Column, node: Column, test: Selector) -> Column:
     """First descendant that passes, else null."""
     return F.try_element_at(_elements(below(nodes, node), test), F.lit(1))
@@ -159,17 +164,36 @@ def find(nodes: Column, node: Column, test: Selector) -> Column:
 
 def text_of(nodes: Column, node: Column, joiner: str = "") -> Column:
     """Text of a node: its text pieces stripped, empty ones dropped. Null for a null node."""
-    pieces = F.filter(
-        F.transform(F.filter(below(nodes, node), lambda n: n["tag"] == ""), lambda n: strip(n["text"])),
-        lambda t: t != "",
-    )
-    return F.when(node.isNotNull(), F.array_join(pieces, joiner))
+    def joined(n: Column) -> Column:
+        pieces = F.transform(
+            F.filter(below(nodes, n), lambda t: t["tag"] == ""), lambda t: strip(t["text"]))
+        return F.when(n.isNotNull(), F.array_join(F.filter(pieces, lambda t: t != ""), joiner))
+    return let(node, joined)
 
 
 def raw_text_of(nodes: Column, node: Column) -> Column:
     """Text of a node as it stands."""
-    pieces = F.transform(F.filter(below(nodes, node), lambda n: n["tag"] == ""), lambda n: n["text"])
-    return F.when(node.isNotNull(), F.array_join(pieces, ""))
+    return let(node, lambda n: F.when(n.isNotNull(), F.array_join(F.transform(
+        F.filter(below(nodes, n), lambda t: t["tag"] == ""), lambda t: t["text"]), "")))
+
+
+def texts(nodes: Column, node: Column, tests: Iterable[Selector]) -> Column:
+    """Text of the first hit of every selector, null where a selector has none."""
+    return F.array(*[text_of(nodes, find(nodes, node, test)) for test in tests])
+
+
+def first_long_text(nodes: Column, node: Column, tests: Iterable[Selector], least: int = 10) -> Column:
+    """The first hit whose text is long enough; without one the text of the last hit."""
+    return let(texts(nodes, node, tests), lambda found: F.coalesce(
+        F.try_element_at(F.filter(found, lambda t: F.length(t) >= least), F.lit(1)),
+        F.try_element_at(F.filter(found, lambda t: t.isNotNull()), F.lit(-1)),
+    ))
+
+
+def first_value(found: Column, read: Callable[[Column], Column]) -> Column:
+    """The first text that ``read`` can make something of."""
+    return F.try_element_at(
+        F.filter(F.transform(found, lambda t: read(t)), lambda v: v.isNotNull()), F.lit(1))
 
 
 def first_cards(nodes: Column, tests: Iterable[Selector], enough: int, fallback_last: bool = True) -> Column:
