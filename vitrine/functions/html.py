@@ -13,11 +13,16 @@ from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from vitrine.functions.text import SPACE, strip
 
-NODES = "array<struct<pos:int,last:int,parent:int,tag:string,text:string,attrs:map<string,string>>>"
+NODES = T.ArrayType(T.StructType([
+    T.StructField("pos", T.IntegerType()), T.StructField("last", T.IntegerType()),
+    T.StructField("parent", T.IntegerType()), T.StructField("tag", T.StringType()),
+    T.StructField("text", T.StringType()),
+    T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
+]))
 # fixed values: elements without content; elements whose text is not page text
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split())
@@ -86,7 +91,7 @@ def page_nodes(page: pd.Series) -> pd.Series:
     return page.map(_flatten)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(text: pd.Series) -> pd.Series:
     return text.map(unescape, na_action="ignore")
 
