@@ -160,4 +160,4 @@ def deal_title(percent: Column) -> Column:
 
 def text_list(text: Column) -> Column:
     """SC20. Comma-separated settings text to a clean array."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda item: item != "")
+    return F.filter(F.transform(F.split(text, ","), lambda item: F.trim(item)), lambda item: item != "")
