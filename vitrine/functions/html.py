@@ -15,12 +15,12 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from vitrine.functions.text import SPACE, strip
+from vitrine.functions.text import strip
 
 NODES = T.ArrayType(T.StructType([
     T.StructField("pos", T.IntegerType()), T.StructField("last", T.IntegerType()),
     T.StructField("parent", T.IntegerType()), T.StructField("tag", T.StringType()),
-    T.StructField("text", T.StringType()),
+    T.StructField("text", T.StringType()), T.StructField("classes", T.StringType()),
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
 ]))
 # fixed values: elements without content; elements whose text is not page text
@@ -37,8 +37,10 @@ class _Flattener(HTMLParser):
     def _add(self, tag, text=None, attrs=None):
         at = len(self.nodes)
         parent = self.open[-1] if self.open else -1
-        self.nodes.append(
-            {"pos": at, "last": at, "parent": parent, "tag": tag, "text": text, "attrs": attrs})
+        # class names between blanks, so that a name is found with its two blanks
+        classes = f" {' '.join(attrs.get('class', '').split())} " if attrs else None
+        self.nodes.append({"pos": at, "last": at, "parent": parent, "tag": tag, "text": text,
+                           "classes": classes, "attrs": attrs})
         self.text_ended = tag != ""
         return at
 
@@ -111,14 +113,12 @@ def tag(*names: str) -> Selector:
 
 
 def has(attr: str) -> Selector:
-    return lambda n: F.map_contains_key(F.coalesce(n["attrs"], F.create_map()), attr)
+    return lambda n: n["attrs"][attr].isNotNull()
 
 
 def cls(*names: str) -> Selector:
-    def test(n: Column) -> Column:
-        padded = F.concat(F.lit(" "), F.regexp_replace(n["attrs"]["class"], SPACE, " "), F.lit(" "))
-        return reduce(lambda a, b: a & b, [F.contains(padded, F.lit(f" {c} ")) for c in names])
-    return test
+    return lambda n: reduce(
+        lambda a, b: a & b, [F.contains(n["classes"], F.lit(f" {c} ")) for c in names])
 
 
 def attr_is(attr: str, value: str) -> Selector:
@@ -162,6 +162,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def with_fields(use: Callable[[Column], Column], **fields: Column) -> Column:
+    """Compute the named fields once, then build the result from them."""
+    return let(F.struct(*[value.alias(name) for name, value in fields.items()]), use)
+
+
 def find(nodes: Column, node: Column, test: Selector) -> Column:
     """First descendant that passes, else null."""
     return F.try_element_at(_elements(below(nodes, node), test), F.lit(1))

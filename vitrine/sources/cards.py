@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vitrine.functions import pricing, text, urls
 from vitrine.functions.html import (
     attr_is, attr_like, below, cls, either, every, find, first_cards, first_long_text, first_value,
-    has, inside, let, page_nodes, raw_text_of, select_all, tag, text_of, texts,
+    has, inside, let, page_nodes, raw_text_of, select_all, tag, text_of, texts, with_fields,
 )
 from vitrine.operators.quality import is_digital, real_discount
 from vitrine.sources.common import explode_offers, offer, text_map
@@ -54,7 +54,6 @@ def amazon_cards(pages: DataFrame, tier: int = 1) -> DataFrame:
             attr_like("href", "/dp/"), attr_like("href", "/gp/product/"))))
         code = F.coalesce(
             text.non_empty(card["attrs"]["data-asin"]), urls.product_code(linked["attrs"]["href"]))
-        link = F.concat(F.lit("https://www.amazon.com.br/dp/"), code)
         h2 = tag("h2")
         title = first_long_text(nodes, card, (
             inside(inside(h2, tag("a"), nodes), tag("span"), nodes), inside(h2, tag("span"), nodes),
@@ -63,16 +62,11 @@ def amazon_cards(pages: DataFrame, tier: int = 1) -> DataFrame:
         ))
         whole = text_of(nodes, find(nodes, card, cls("a-price-whole")))
         cents = text_of(nodes, find(nodes, card, cls("a-price-fraction")))
-        joined = F.concat(
-            F.translate(whole, ".,", ""), F.coalesce(F.concat(F.lit(","), cents), F.lit("")))
-        price = F.coalesce(
-            first_value(texts(nodes, card, (
-                in_price(every(cls("a-price"), attr_is("data-a-size", "xl"))),
-                in_price(every(cls("a-price"), attr_is("data-a-size", "l"))),
-                in_price(cls("a-price")), cls("a-price-whole"),
-            )), _price),
-            text.parse_price(joined),
-        )
+        price = first_value(texts(nodes, card, (
+            in_price(every(cls("a-price"), attr_is("data-a-size", "xl"))),
+            in_price(every(cls("a-price"), attr_is("data-a-size", "l"))),
+            in_price(cls("a-price")), cls("a-price-whole"),
+        )), _price)
         listed = first_value(texts(nodes, card, (
             in_price(cls("a-text-price")), cls("a-text-strike"),
             inside(cls("a-price", "a-text-price"), tag("span"), nodes),
@@ -86,17 +80,31 @@ def amazon_cards(pages: DataFrame, tier: int = 1) -> DataFrame:
         ships_free = find(nodes, card, either(
             cls("a-color-success"), attr_like("class", "freeShipping"),
             attr_like("class", "free-shipping"))).isNotNull()
-        cleaned = text.clean_title(title)
         image = _picture(find(nodes, card, every(tag("img"), has("src"))), "src", "data-src")
-        return offer(
-            key=link, title=cleaned, link=link,
-            ok=(F.length(title) >= 10) & ~is_digital(cleaned, link),
-            price=price, original_price=pricing.usable_list_price(price, listed),
-            discount_pct=percent, image_url=urls.larger_image(image), coupon_code=coupon,
-            free_shipping=ships_free | text.mentions_free_shipping(
-                text_of(nodes, card, " "), ("frete grátis", "entrega grátis")),
-            extra=text_map(asin=code, source=F.lit("html_card")),
-        )
+
+        def built(f: Column) -> Column:
+            return offer(
+                key=f["link"], title=f["cleaned"], link=f["link"],
+                ok=(F.length(f["title"]) >= 10) & ~is_digital(f["cleaned"], f["link"]),
+                price=f["price"], original_price=pricing.usable_list_price(f["price"], f["listed"]),
+                discount_pct=f["percent"], image_url=urls.larger_image(f["image"]),
+                coupon_code=f["coupon"],
+                free_shipping=f["ships_free"] | text.mentions_free_shipping(
+                    text_of(nodes, card, " "), ("frete grátis", "entrega grátis")),
+                extra=text_map(asin=f["code"], source=F.lit("html_card")),
+            )
+
+        return with_fields(
+            lambda f: with_fields(
+                built, link=F.concat(F.lit("https://www.amazon.com.br/dp/"), f["code"]),
+                cleaned=text.clean_title(f["title"]), code=f["code"], title=f["title"],
+                price=F.coalesce(f["price"], text.parse_price(F.concat(
+                    F.translate(f["whole"], ".,", ""),
+                    F.coalesce(F.concat(F.lit(","), f["cents"]), F.lit(""))))),
+                listed=f["listed"], percent=f["percent"], image=f["image"], coupon=f["coupon"],
+                ships_free=f["ships_free"]),
+            code=code, title=title, price=price, whole=whole, cents=cents, listed=listed,
+            percent=percent, image=image, coupon=coupon, ships_free=ships_free)
 
     return _explode(pages, F.transform(F.slice(cards, 1, 40), card_offer), tier)
 
@@ -124,14 +132,15 @@ def mercadolivre_cards(pages: DataFrame, tier: int = 1) -> DataFrame:
         percent = text.percent_in_text(raw_text_of(nodes, find(nodes, card, either(
             cls("andes-money-amount__discount"), attr_like("class", "discount")))))
         image = find(nodes, card, every(tag("img"), either(has("src"), has("data-src"))))
-        code = urls.listing_code(href)
-        return offer(
-            key=code, title=text.clean_title(title), link=urls.drop_query(href),
-            ok=urls.on_domain(href, "mercadolivre.com.br") & real_discount(price, listed, percent),
-            price=price, original_price=listed, discount_pct=percent,
-            image_url=_picture(image, "src", "data-src"),
-            extra=text_map(ml_id=code, source=F.lit("html")),
-        )
+        return with_fields(
+            lambda f: offer(
+                key=f["code"], title=text.clean_title(f["title"]), link=urls.drop_query(f["href"]),
+                ok=urls.on_domain(f["href"], "mercadolivre.com.br")
+                & real_discount(f["price"], f["listed"], f["percent"]),
+                price=f["price"], original_price=f["listed"], discount_pct=f["percent"],
+                image_url=f["image"], extra=text_map(ml_id=f["code"], source=F.lit("html"))),
+            code=urls.listing_code(href), href=href, title=title, price=price, listed=listed,
+            percent=percent, image=_picture(image, "src", "data-src"))
 
     return _explode(pages, F.transform(F.slice(cards, 1, 25), card_offer), tier)
 
@@ -176,22 +185,22 @@ def terabyte_cards(pages: DataFrame, tier: int = 0) -> DataFrame:
                     for a in ("data-src", "src", "data-original")]
         image = F.coalesce(*[
             F.when((p != "") & ~p.startswith("data:"), urls.absolute(p, base)) for p in pictures])
-        link = urls.drop_query(full, drop_slash=False)
-
-        def priced(prices: Column) -> Column:
-            now, before = prices["now"], pricing.usable_list_price(prices["now"], prices["before"])
+        def built(f: Column) -> Column:
+            before = pricing.usable_list_price(f["price"], f["listed"])
             return offer(
-                key=link, title=text.clean_title(title), link=link, ok=F.length(title) >= 10,
-                price=now, original_price=before,
-                discount_pct=F.coalesce(badge, F.when(
-                    before > now, pricing.percent_off(now, before).cast("double"))),
-                image_url=image, coupon_code=coupon,
+                key=f["link"], title=text.clean_title(f["title"]), link=f["link"],
+                ok=F.length(f["title"]) >= 10, price=f["price"], original_price=before,
+                discount_pct=F.coalesce(f["badge"], F.when(
+                    f["listed"] > f["price"], pricing.percent_off(f["price"], f["listed"]).cast("double"))),
+                image_url=f["image"], coupon_code=f["coupon"],
                 free_shipping=text.mentions_free_shipping(
                     text_of(nodes, card, " "), ("frete grátis", "frete gratis")),
                 extra=text_map(source=F.lit("terabyte_html")),
             )
 
-        return let(F.struct(price.alias("now"), listed.alias("before")), priced)
+        return with_fields(
+            built, link=urls.drop_query(full, drop_slash=False), title=title, price=price,
+            listed=listed, badge=badge, image=image, coupon=coupon)
 
     return _explode(pages, F.transform(F.slice(cards, 1, 35), card_offer), tier)
 
