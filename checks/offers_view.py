@@ -17,8 +17,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def offers_view(spark: SparkSession, sf: str) -> DataFrame:
-    lines, parts = table(spark, sf, "lineitem"), table(spark, sf, "part")
+def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The same table as a file stream."""
+    return spark.readStream.schema(table(spark, sf, name).schema).option(
+        "pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def offers_view(spark: SparkSession, sf: str, lines: DataFrame | None = None) -> DataFrame:
+    lines, parts = table(spark, sf, "lineitem") if lines is None else lines, table(spark, sf, "part")
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     percent = F.round(F.col("l_discount") * 100).cast("bigint")
     lines = lines.select(

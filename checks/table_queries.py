@@ -180,7 +180,7 @@ def run_log_status(spark, sf):
 
 
 _STATS = f"""stats AS (SELECT source, count(*) AS runs, CAST(sum(items_found) AS BIGINT) AS total_found, CAST(sum(items_sent) AS BIGINT) AS total_sent,
-  CAST(sum(errors) AS BIGINT) AS total_errors, round(avg(duration_secs), 6) AS avg_duration FROM runs
+  CAST(sum(errors) AS BIGINT) AS total_errors, round(avg(duration_secs), 9) AS avg_duration FROM runs
   WHERE run_at > TIMESTAMP '{NOW}' - INTERVAL 24 HOUR GROUP BY source)"""
 
 
@@ -188,7 +188,7 @@ _STATS = f"""stats AS (SELECT source, count(*) AS runs, CAST(sum(items_found) AS
 def source_stats_24h(spark, sf):
     """A1, F10, SC19."""
     return history.source_stats(run_log(spark, sf), F.lit(NOW).cast("timestamp")).withColumn(
-        "avg_duration", F.round("avg_duration", 6))
+        "avg_duration", F.round("avg_duration", 9))
 
 
 @query(f"""{RUNS_SQL}, {_STATS}, enabled AS (SELECT unnest({list(SOURCE_NAMES)}) AS source)
