@@ -17,6 +17,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Share a table of one file (here: one row group, so one task) among the cores.
+
+    Tables of several files are read by several tasks anyway and are not shuffled.
+    """
+    if len(rows.inputFiles()) > 1:
+        return rows
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """The same table as a file stream."""
     return spark.readStream.schema(table(spark, sf, name).schema).option(
@@ -24,11 +34,14 @@ def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def offers_view(spark: SparkSession, sf: str, lines: DataFrame | None = None) -> DataFrame:
-    lines, parts = table(spark, sf, "lineitem") if lines is None else lines, table(spark, sf, "part")
+    lines = table(spark, sf, "lineitem") if lines is None else lines
+    parts = table(spark, sf, "part")
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     percent = F.round(F.col("l_discount") * 100).cast("bigint")
     lines = lines.select(
         *ARRIVAL, "l_returnflag", "l_linestatus", cents.alias("ep"), percent.alias("dp"))
+    if not lines.isStreaming:
+        lines = spread(lines)
     money = lambda c: F.expr(
         f"CAST(CAST({c} AS DECIMAL(14,2)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(12,2))")
     shop = F.col("l_suppkey") % 8
@@ -36,8 +49,9 @@ def offers_view(spark: SparkSession, sf: str, lines: DataFrame | None = None) ->
         lines.join(parts, lines["l_partkey"] == parts["p_partkey"])
         .withColumn("original_cents", F.expr("ep div 50"))
         .withColumn("price_cents", F.expr("ep * (100 - 8 * dp) div 5000"))
-        .select(
-            *ARRIVAL, "original_cents", "price_cents",
+        # a generator keeps the derived columns columns: Spark would copy their expressions into every
+        # filter it pushes down, and compute them again there
+        .select(*ARRIVAL, "original_cents", "price_cents", F.inline(F.array(F.struct(
             F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("oid"),
             F.concat(F.col("p_name"), F.lit(" "), F.col("p_brand"), F.lit(" "), F.col("p_type"),
                      F.lit(" size "), F.col("p_size")).alias("title"),
@@ -57,7 +71,7 @@ def offers_view(spark: SparkSession, sf: str, lines: DataFrame | None = None) ->
                 F.lit("https://img.example/photo/"), F.col("l_partkey"), F.lit(".jpg")))
             .when(F.col("l_linenumber") % 3 == 1, "").otherwise("https://img.example/placeholder.png").alias("image_url"),
             F.element_at(F.array(*[F.lit(o) for o in ORIGINS]), F.col("l_linenumber").cast("int")).alias("origin"),
-        )
+        ))))
         .withColumn("extra", F.create_map(F.lit("origin_store"), F.col("origin")))
     )
 

@@ -320,8 +320,8 @@ def score_top10(spark, sf):
   QUALIFY row_number() OVER (PARTITION BY store ORDER BY score DESC, {ARRIVAL_SQL}) <= 10""")
 def score_top10_per_store(spark, sf):
     """L2 per store."""
-    shown = scoring.worth_showing(scored_offers(spark, sf))
-    return tiers.cap_per_group(shown, ["store"], [F.col("score").desc(), *ARRIVAL], 10).select("oid", "store", "score")
+    top = tiers.cap_per_group(scored_offers(spark, sf), ["store"], [F.col("score").desc(), *ARRIVAL], 10)
+    return scoring.worth_showing(top).select("oid", "store", "score")
 
 
 # --- small lists ---------------------------------------------------------------------------

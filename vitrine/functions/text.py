@@ -13,11 +13,16 @@ from pyspark.sql import Column, functions as F
 from vitrine import fixed_values as fv
 
 SPACE = r"[\s\p{Z}]"
+# fixed values: the characters that count as white space at the ends of a text
+BLANKS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only the ASCII blank."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def non_empty(text: Column) -> Column:
@@ -60,26 +65,22 @@ def percent_in_text(text: Column, need_sign: bool = True) -> Column:
 
 def clean_title(title: Column) -> Column:
     """P11. Squeeze blanks, drop shop names and durations, drop dangling separators."""
-    squeezed = strip(F.regexp_replace(title, rf"{SPACE}+", " "))
+    # one kind of blank is left after the first step, so plain trims do for the rest
+    squeezed = F.regexp_replace(title, rf"{SPACE}+", " ")
     without_shops = reduce(
-        lambda text, shop: strip(F.replace(text, F.lit(shop), F.lit(""))),
-        fv.TITLE_STORE_NAMES, squeezed,
-    )
-    blank = rf"{SPACE}*"
+        lambda text, shop: F.replace(text, F.lit(shop), F.lit("")), fv.TITLE_STORE_NAMES, squeezed)
     without_time = F.regexp_replace(
-        without_shops,
-        rf"[0-9]+{blank}(min|h|d|dias?|horas?){blank}[0-9]*{blank}(min|h|d)?", "",
-    )
-    return strip(F.regexp_replace(without_time, r"[\s\p{Z}|–-]+$", ""))
+        without_shops, "[0-9]+ *(min|h|d|dias?|horas?) *[0-9]* *(min|h|d)?", "")
+    return F.ltrim(F.rtrim(without_time, F.lit(" |–-")))
 
 
 def normalize_title(title: Column, keep_numbers: bool = False) -> Column:
     """P12. Comparison form: lower case, no punctuation, single blanks, no numbers."""
     letters = F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}_\s\p{Z}]", "")
-    squeezed = strip(F.regexp_replace(letters, rf"{SPACE}+", " "))
+    squeezed = F.trim(F.regexp_replace(letters, rf"{SPACE}+", " "))
     if keep_numbers:
         return squeezed
-    return strip(F.regexp_replace(squeezed, rf"r?\$?{SPACE}*[0-9]+[.,]?[0-9]*", ""))
+    return F.trim(F.regexp_replace(squeezed, r"r?\$? *[0-9]+[.,]?[0-9]*", ""))
 
 
 def _usable_code(code: Column) -> Column:

@@ -15,35 +15,28 @@ def url_host(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
 
 
-def _path(url: Column) -> Column:
-    """Path without the ``;params`` of its last segment."""
-    full = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
-    return F.regexp_replace(full, ";[^/]*$", "")
-
-
 def _query(url: Column) -> Column:
     return F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
 
 
+# scheme and fragment go, host stays, the path loses trailing slashes and ;params, a non-empty query stays
+_PARTS = (r"(?s)^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://([^/?#]*))?([^?#]*?)/*(?:;[^/?#]*)?(\?[^#]+)?\??(?:#.*)?$")
+
+
 def normalize_link(link: Column, repair_query: bool = False) -> Column:
     """P13. Comparison form of a link.
 
     https, no ``www.``, no trailing slash, no fragment, no tracking parameters. Dropping the first
-    parameter also drops its ``?``; ``repair_query`` puts it back.
+    parameter also drops its ``?``; ``repair_query`` puts it back. Every step uses the one before it
+    once, so the expression stays small wherever Spark copies it.
     """
-    host = F.replace(url_host(link), F.lit("www."), F.lit(""))
-    query = _query(link)
-    target = F.concat(
-        F.regexp_replace(_path(link), "/+$", ""),
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-    )
-    kept = F.regexp_replace(F.regexp_replace(target, fv.LINK_TRACKING, ""), "[?&]+$", "")
+    target = F.regexp_replace(link, _PARTS, "$1$2$3")
+    # each match starts where the last one ended and stays within the host
+    bare = F.regexp_replace(target, r"\G([^/?]*?)www\.", "$1")
+    kept = F.rtrim(F.regexp_replace(bare, fv.LINK_TRACKING, ""), F.lit("?&"))
     if repair_query:
-        kept = F.when(
-            F.contains(kept, F.lit("&")) & ~F.contains(kept, F.lit("?")),
-            F.regexp_replace(kept, "^([^&]*)&", "$1?"),
-        ).otherwise(kept)
-    return F.concat(F.lit("https://"), host, kept)
+        kept = F.regexp_replace(kept, "^([^?&]*)&", "$1?")
+    return F.concat(F.lit("https://"), kept)
 
 
 def link_key(link: Column) -> Column:

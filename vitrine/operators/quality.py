@@ -40,14 +40,15 @@ def _two_decimals(amount: Column) -> Column:
 def refusal_reason(
     title: Column, link: Column, price: Column, *,
     min_price: float = fv.MIN_PRICE, max_price: float = fv.MAX_PRICE,
-    min_title: int = fv.MIN_TITLE, blocked: Sequence[str] | None = None,
+    min_title: int = fv.MIN_TITLE, blocked: Sequence[str] | None = None, lowered: Column | None = None,
 ) -> Column:
     """F2. Why an offer is refused (first failing check), null when it passes.
 
-    ``blocked=None`` takes the default words, an empty list blocks none.
+    ``blocked=None`` takes the default words, an empty list blocks none. ``lowered`` is the title in
+    lower case where that is at hand.
     """
     blocked = fv.BLOCKED_KEYWORDS if blocked is None else blocked
-    lowered = F.lower(title)
+    lowered = F.lower(title) if lowered is None else lowered
     blocked_word = first_keyword(lowered, blocked)
     poor_word = first_keyword(lowered, fv.LOW_QUALITY_WORDS)
     symbols = F.length(F.regexp_replace(title, _plain_characters(), ""))
@@ -77,8 +78,9 @@ def reason_code(reason: Column) -> Column:
 
 def quality_gate(offers: DataFrame, **limits) -> DataFrame:
     """Adds ``reason``; rows with a null reason pass, the others are the reject side output."""
-    return offers.withColumn(
-        "reason", refusal_reason(F.col("title"), F.col("link"), F.col("price"), **limits))
+    lowered = offers.withColumn("_lowered", F.lower("title"))
+    return lowered.withColumn("reason", refusal_reason(
+        F.col("title"), F.col("link"), F.col("price"), lowered=F.col("_lowered"), **limits)).drop("_lowered")
 
 
 def real_discount(price: Column, list_price: Column, declared: Column,
