@@ -10,7 +10,7 @@ from vitrine.functions import text
 from vitrine.functions.html import decode_entities, has, every, page_nodes, select_all, tag, text_of
 from vitrine.sources import cards, collect, embedded, json_api
 
-CENTS = F.lit(1000)
+CENTS = 1000
 
 
 def _of(spark, sf, store):
