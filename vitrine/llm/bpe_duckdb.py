@@ -50,11 +50,7 @@ SELECT word, pos, tok, round FROM step"""
 FIXPOINT = """
 SELECT r.word, r.tok FROM rounds r JOIN (SELECT word, max(round) AS round FROM rounds GROUP BY word) l
   ON l.word = r.word AND l.round = r.round ORDER BY r.word, r.pos"""
-#: With one thread the aggregate sees its rows in the order of the sorted input.
 DECODE = """
-SELECT doc, string_agg(body, '') AS body FROM (
-  SELECT t.doc, v.body FROM tokens t JOIN vocabulary v ON v.tok = t.tok ORDER BY t.doc, t.pos) GROUP BY doc"""
-DECODE_SLOW = """
 SELECT doc, string_agg(v.body, '' ORDER BY t.pos) AS body FROM tokens t JOIN vocabulary v ON v.tok = t.tok GROUP BY doc"""
 
 
@@ -164,7 +160,7 @@ class Bpe:
             self.known[word] = body[at * size:end * size]
             at = end
 
-    def decode(self, documents: Sequence[np.ndarray], query: str = DECODE) -> list[bytes]:
+    def decode(self, documents: Sequence[np.ndarray]) -> list[bytes]:
         """The bytes of each id array; a long array is decoded in parts."""
         out: list[list[bytes]] = [[] for _ in documents]
         held: list[tuple[int, np.ndarray]] = []
@@ -173,32 +169,28 @@ class Bpe:
             for at in range(0, len(ids), TOKENS):
                 part = ids[at:at + TOKENS]
                 if len(part) > room:
-                    self._flush(held, out, query)
+                    self._flush(held, out)
                     held, room = [], TOKENS
                 held.append((i, part))
                 room -= len(part)
-        self._flush(held, out, query)
+        self._flush(held, out)
         return [b"".join(parts) for parts in out]
 
-    def _flush(self, held: list[tuple[int, np.ndarray]], out: list[list[bytes]], query: str) -> None:
+    def _flush(self, held: list[tuple[int, np.ndarray]], out: list[list[bytes]]) -> None:
         if not held:
             return
         tok = np.concatenate([ids for _, ids in held]).astype(np.int32)
         self.db.register("tokens", pa.table({
             "doc": np.repeat(np.arange(len(held), dtype=np.int32), [len(ids) for _, ids in held]),
             "pos": np.arange(len(tok), dtype=np.int32), "tok": tok}))
-        for k, body in sorted(self.db.execute(query).fetchall()):
+        for k, body in sorted(self.db.execute(DECODE).fetchall()):
             out[held[k][0]].append(body.encode("latin-1"))
         self.db.unregister("tokens")
 
     def round_trip(self, texts: Sequence[str]) -> list[tuple[np.ndarray, bytes]]:
         """Ids of each text and their bytes again."""
         ids = [np.frombuffer(b, self.type) for b in self.encode(texts)]
-        bodies = self.decode(ids)
-        wrong = [i for i, (b, t) in enumerate(zip(bodies, texts)) if b != t.encode()]
-        for i, body in zip(wrong, self.decode([ids[i] for i in wrong], DECODE_SLOW)):
-            bodies[i] = body
-        return list(zip(ids, bodies))
+        return list(zip(ids, self.decode(ids)))
 
 
 def encode_decode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", key: str = "doc_id",
