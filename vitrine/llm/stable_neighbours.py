@@ -177,7 +177,7 @@ def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, sure: float =
     parts = located.groupBy("cell").count().select("cell", F.ceil(F.col("count") / PART_ROWS).cast("int").alias("parts"))
     index = located.join(parts, "cell").select(
         "cell", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "embedding", "near")
-    queries = located.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    queries = write_out(located.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), folder, "queries")
 
     def search(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = []
