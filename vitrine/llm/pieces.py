@@ -30,16 +30,16 @@ class PieceCoder:
         self.encode_new, self.remembered, self.known = encode_new, remembered, {}
 
     def __call__(self, texts: Sequence[str]) -> list[bytes]:
-        parts, new = [cut(t) for t in texts], set()
+        parts, firsts, new = [cut(t) for t in texts], [], set()
         for p in parts:
-            new.update(p[1:])
+            firsts.append(p.pop(0))
+            new.update(p)
         if len(self.known) > self.remembered:
             self.known = {}
         new = list(new.difference(self.known))
         self.known.update(zip(new, self.encode_new([" " + p for p in new])))
-        firsts = self.encode_new([p[0] for p in parts])
         find = self.known.__getitem__
-        return [b"".join([first, *map(find, p[1:])]) for first, p in zip(firsts, parts)]
+        return [first + b"".join(map(find, p)) for first, p in zip(self.encode_new(firsts), parts)]
 
 
 def narrowest(n_ids: int) -> str:

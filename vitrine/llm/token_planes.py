@@ -32,6 +32,8 @@ from vitrine.shared import run_folder, write_out
 
 MAGIC = b"IDPLANE1"
 BLOCK_IDS = 1 << 16
+#: Shuffle partitions per file: in a larger range of documents more pieces of text repeat.
+TASKS_PER_FILE = 2
 
 
 def to_planes(ids: np.ndarray, mode: str) -> list[bytes]:
@@ -169,7 +171,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, m
 
     rows = docs.select("doc_id", "text")
     ordered = (
-        rows.repartitionByRange(tasks_of(spark), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+        rows.repartitionByRange(max(8, tasks_of(spark) // TASKS_PER_FILE), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text"))
     written = ordered.mapInArrow(run, "file long, name string, n_docs long, n_ids long")
     files = write_out(written, folder, "files")
