@@ -18,13 +18,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Share a table of one file (here: one row group, so one task) among the cores.
-
-    Tables of several files are read by several tasks anyway and are not shuffled.
-    """
-    if len(rows.inputFiles()) > 1:
-        return rows
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    """Share a sample table, which is one file of one row group, among the cores of a local session."""
+    context = rows.sparkSession.sparkContext
+    return rows.repartition(context.defaultParallelism) if context.master.startswith("local[") else rows
 
 
 def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -14,7 +14,8 @@ CENTS = 1000
 
 
 def _of(spark, sf, store):
-    return offers_view(spark, sf).filter(F.col("store") == store)
+    """All offers, as if one store had them: pages are built from the whole table."""
+    return offers_view(spark, sf).withColumn("store", F.lit(store))
 
 
 def _obj(**fields):
@@ -25,14 +26,14 @@ def _numbers(found: DataFrame, *columns) -> DataFrame:
     return plain(found.select(*columns))
 
 
-SHOP = "SELECT * FROM offers_v WHERE store = '{0}'"
+SHOP = "SELECT * FROM offers_v"
 LISTED = "CASE WHEN original_cents > price_cents THEN original_cents / 100.0::DOUBLE END AS original_price"
 PRICE = "price_cents / 100.0::DOUBLE AS price"
 
 
 # --- JSON answers ----------------------------------------------------------------
 @query(f"""{OFFERS_SQL} SELECT 'https://www.kabum.com.br/produto/' || oid || '/slug' AS link, title, {PRICE}, {LISTED},
-  l_linenumber::DOUBLE AS discount_pct, category, coupon_code, free_shipping, image_url FROM ({SHOP.format('kabum')})""")
+  l_linenumber::DOUBLE AS discount_pct, category, coupon_code, free_shipping, image_url FROM ({SHOP})""")
 def json_catalog(spark, sf):
     """SC1."""
     on_offer = F.col("l_linenumber") % 2 == 0
@@ -54,7 +55,7 @@ def json_catalog(spark, sf):
 
 
 @query(f"""{OFFERS_SQL} SELECT 'MLB' || oid AS key, 'https://ml.example/' || oid AS link, title, {PRICE}, {LISTED}, tenths / 10.0::DOUBLE AS discount_pct,
-  free_shipping, 'https://h/D-' || l_partkey || '-O.jpg' AS image_url FROM ({SHOP.format('mercadolivre')}) WHERE tenths >= 100""")
+  free_shipping, 'https://h/D-' || l_partkey || '-O.jpg' AS image_url FROM ({SHOP}) WHERE tenths >= 100""")
 def json_search(spark, sf):
     """SC2, F3."""
     item = _obj(
@@ -81,7 +82,7 @@ def _scaled_item():
 
 _SCALED = f"""{OFFERS_SQL} SELECT l_orderkey || '00' || l_linenumber AS key, title,
   'https://shopee.com.br/product/' || (l_partkey + 1) || '/' || l_orderkey || '00' || l_linenumber AS link, {PRICE}, {LISTED},
-  l_linenumber::DOUBLE AS discount_pct, coupon_code, free_shipping FROM ({SHOP.format('shopee')}) WHERE price_cents > 0"""
+  l_linenumber::DOUBLE AS discount_pct, coupon_code, free_shipping FROM ({SHOP}) WHERE price_cents > 0"""
 _SCALED_COLUMNS = ("key", "title", "link", "price", "original_price", "discount_pct", "coupon_code", "free_shipping")
 
 
@@ -106,7 +107,7 @@ def page_state(spark, sf):
 @query(f"""{OFFERS_SQL} SELECT oid AS key, title, 'https://out.example/' || oid || '?color=' || l_linenumber AS link, {PRICE}, {LISTED},
   CASE WHEN tenths > 0 THEN tenths / 10.0::DOUBLE END AS discount_pct, coupon_code,
   'https://www.promobit.com.br/i/' || l_partkey AS image_url, CASE WHEN origin = '' THEN 'Shop' ELSE origin END AS origin_store
-  FROM ({SHOP.format('promobit')})""")
+  FROM ({SHOP})""")
 def next_state(spark, sf):
     """SC5, P14, P20: known place on even orders, a deep unknown place on odd ones."""
     item = _obj(
@@ -131,7 +132,7 @@ def next_state(spark, sf):
         "original_price", "discount_pct", "coupon_code", "image_url", "origin_store")
 
 
-@query(f"""{OFFERS_SQL} SELECT 'https://www.pelando.com.br/d/' || oid AS key, title || ' por R$ ' || translate(format('{{:,.2f}}', price_cents / 100.0::DOUBLE), ',.', '.,') AS title, {PRICE} FROM ({SHOP.format('pelando')})""")
+@query(f"""{OFFERS_SQL} SELECT 'https://www.pelando.com.br/d/' || oid AS key, title || ' por R$ ' || translate(format('{{:,.2f}}', price_cents / 100.0::DOUBLE), ',.', '.,') AS title, {PRICE} FROM ({SHOP})""")
 def json_ld_deals(spark, sf):
     """SC6, P5: parts of the main entity, list elements with inner items, foreign domains dropped."""
     url = F.concat(F.lit("https://www.pelando.com.br/d/"), "oid")
@@ -147,7 +148,7 @@ def json_ld_deals(spark, sf):
     return _numbers(embedded.linked_deals(pages), "key", "title", "price")
 
 
-@query(f"{OFFERS_SQL} SELECT 'https://p.example/' || oid AS key, title FROM ({SHOP.format('promobit')})")
+@query(f"{OFFERS_SQL} SELECT 'https://p.example/' || oid AS key, title FROM ({SHOP})")
 def json_ld_offers(spark, sf):
     """SC6."""
     item = _obj(**{"url": F.concat(F.lit("https://p.example/"), "oid"), "name": F.col("title")})
@@ -168,14 +169,14 @@ def payload_errors(spark, sf):
 
 
 # --- serialised text ----------------------------------------------------------------
-_UUID = "concat('00000000-0000-4000-8000-', lpad(cast(l_partkey as string), 6, '0'), lpad(cast(l_orderkey * 10 + l_linenumber as string), 6, '0'))"
+_UUID = "concat(lpad(cast(l_partkey as string), 8, '0'), '-0000-4000-8000-', lpad(cast(l_orderkey * 10 + l_linenumber as string), 12, '0'))"
 
 
-@query(f"""{OFFERS_SQL} SELECT '00000000-0000-4000-8000-' || lpad(l_partkey::VARCHAR, 6, '0') || right(lpad((l_orderkey * 10 + l_linenumber)::VARCHAR, 6, '0'), 6) AS key,
+@query(f"""{OFFERS_SQL} SELECT lpad(l_partkey::VARCHAR, 8, '0') || '-0000-4000-8000-' || lpad((l_orderkey * 10 + l_linenumber)::VARCHAR, 12, '0') AS key,
   title, CASE WHEN l_linenumber % 2 = 0 THEN 'https://out.example/' || oid || '?a=' || l_linenumber ELSE 'https://www.pelando.com.br/d/s' || l_partkey END AS link,
   {PRICE}, l_linenumber::DOUBLE AS discount_pct, CASE WHEN l_linenumber = 2 THEN 'coupon' ELSE 'promotion' END AS category,
   coalesce(coupon_code, CASE WHEN l_linenumber = 2 THEN 'VER NA LOJA' END) AS coupon_code, free_shipping,
-  'Loja ' || l_suppkey AS origin_store FROM ({SHOP.format('pelando')}) WHERE l_linenumber <> 7 AND l_orderkey < 99999""")
+  'Loja ' || l_suppkey AS origin_store FROM ({SHOP}) WHERE l_linenumber <> 7""")
 def segment_scan(spark, sf):
     """SC7, F5, F9, P33, P36."""
     q = lambda name, value: F.concat(F.lit(f',"{name}":[0,'), value, F.lit("]"))
@@ -194,7 +195,7 @@ def segment_scan(spark, sf):
             F.lit("https://out.example/"), "oid", F.lit("?ref=1&a="), line)))).otherwise(""))
     # the page carries the text with quotes as entities
     pages = one_page_per_order(
-        _of(spark, sf, "pelando").filter("l_orderkey < 99999"), F.replace(piece, F.lit('"'), F.lit("&quot;")), "html", "<div data='", "", "'>")
+        _of(spark, sf, "pelando"), F.replace(piece, F.lit('"'), F.lit("&quot;")), "html", "<div data='", "", "'>")
     return _numbers(
         embedded.component_text(pages).withColumn("origin_store", F.col("extra")["origin_store"]), "key", "title", "link",
         "price", "discount_pct", "category", "coupon_code", "free_shipping", "origin_store")
@@ -207,7 +208,7 @@ def _inline(pages_piece, offers, before, after):
 
 @query(f"""{OFFERS_SQL} SELECT oid AS key, 'https://pt.aliexpress.com/item/' || oid || '.html' AS link, title, {PRICE},
   original_cents / 100.0::DOUBLE AS original_price, l_linenumber::DOUBLE AS discount_pct, 'https://cdn/' || l_partkey AS image_url
-  FROM ({SHOP.format('aliexpress')})""")
+  FROM ({SHOP})""")
 def inline_block(spark, sf):
     """SC8, SC9: the object around every title, nested objects inside it included."""
     obj = _obj(
@@ -219,7 +220,7 @@ def inline_block(spark, sf):
 
 
 @query(f"""{OFFERS_SQL} SELECT oid AS key, CASE WHEN l_linenumber > 1 THEN 'Super Deal -' || l_linenumber || '% OFF' ELSE 'Super Deal AliExpress' END AS title,
-  {PRICE}, original_cents / 100.0::DOUBLE AS original_price, CASE WHEN l_linenumber > 1 THEN l_linenumber::DOUBLE END AS discount_pct FROM ({SHOP.format('aliexpress')})""")
+  {PRICE}, original_cents / 100.0::DOUBLE AS original_price, CASE WHEN l_linenumber > 1 THEN l_linenumber::DOUBLE END AS discount_pct FROM ({SHOP})""")
 def item_list(spark, sf):
     """SC10, P37."""
     obj = _obj(
@@ -230,7 +231,7 @@ def item_list(spark, sf):
 
 
 @query(f"""{OFFERS_SQL} SELECT DISTINCT l_orderkey AS batch_id, 'C' || l_partkey AS code, l_partkey::DOUBLE AS min_value, (l_partkey % 50)::DOUBLE AS discount_value
-  FROM ({SHOP.format('aliexpress')})""")
+  FROM ({SHOP})""")
 def coupon_scan(spark, sf):
     """SC11, W1: the first occurrence of every code of a page."""
     from vitrine.operators.tiers import keep_first
@@ -243,7 +244,7 @@ def coupon_scan(spark, sf):
 
 
 @query(f"""{OFFERS_SQL} SELECT 'https://www.amazon.com.br/dp/B' || lpad(l_partkey::VARCHAR, 9, '0') AS link,
-  'Oferta Amazon — ASIN B' || lpad(l_partkey::VARCHAR, 9, '0') AS title, {PRICE} FROM ({SHOP.format('amazon')}) WHERE price_cents > 0""")
+  'Oferta Amazon — ASIN B' || lpad(l_partkey::VARCHAR, 9, '0') AS title, {PRICE} FROM ({SHOP}) WHERE price_cents > 0""")
 def script_pairs(spark, sf):
     """SC12."""
     obj = _obj(asin=F.concat(F.lit("B"), F.lpad(F.col("l_partkey").cast("string"), 9, "0")), x=F.lit(1), displayPrice=text.brl(F.col("price")))
@@ -270,7 +271,7 @@ def _card_pages(spark, sf, store, card):
 
 
 @query(f"""{OFFERS_SQL} SELECT 'https://www.amazon.com.br/dp/B' || lpad(l_partkey::VARCHAR, 9, '0') AS link, title, {PRICE}, {LISTED}, l_linenumber::DOUBLE AS discount_pct,
-  coupon_code, free_shipping, 'https://i/I/p' || l_partkey || '._AC_SX679_.jpg' AS image_url FROM ({SHOP.format('amazon')})""")
+  coupon_code, free_shipping, 'https://i/I/p' || l_partkey || '._AC_SX679_.jpg' AS image_url FROM ({SHOP})""")
 def html_cards_amazon(spark, sf):
     """SC13, P21, P22, P23."""
     card = F.concat(
@@ -288,7 +289,7 @@ def html_cards_amazon(spark, sf):
 
 
 @query(f"""{OFFERS_SQL} SELECT 'MLB' || l_partkey AS key, title, 'https://www.mercadolivre.com.br/MLB-' || l_partkey AS link, {PRICE}, original_cents / 100.0::DOUBLE AS original_price,
-  l_linenumber * 5::DOUBLE AS discount_pct FROM ({SHOP.format('mercadolivre')}) WHERE tenths >= 100 OR l_linenumber * 5 >= 10 AND (tenths IS NOT NULL OR true)""")
+  l_linenumber * 5::DOUBLE AS discount_pct FROM ({SHOP}) WHERE tenths >= 100 OR l_linenumber * 5 >= 10 AND (tenths IS NOT NULL OR true)""")
 def html_cards_mercadolivre(spark, sf):
     """SC14, F3."""
     fraction = 'class="andes-money-amount__fraction"'
@@ -303,7 +304,7 @@ def html_cards_mercadolivre(spark, sf):
 
 @query(f"""{OFFERS_SQL} SELECT 'https://www.terabyteshop.com.br/produto/' || oid AS link, title, {PRICE}, {LISTED},
   CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber::DOUBLE WHEN tenths > 0 THEN tenths / 10.0::DOUBLE END AS discount_pct, coupon_code, free_shipping,
-  'https://www.terabyteshop.com.br/i/' || l_partkey || '.jpg' AS image_url FROM ({SHOP.format('terabyte')})""")
+  'https://www.terabyteshop.com.br/i/' || l_partkey || '.jpg' AS image_url FROM ({SHOP})""")
 def html_cards_terabyte(spark, sf):
     """SC15, P19, P22, P23."""
     card = F.concat(
@@ -318,7 +319,7 @@ def html_cards_terabyte(spark, sf):
                     "discount_pct", "coupon_code", "free_shipping", "image_url")
 
 
-@query(f"""{OFFERS_SQL} SELECT 'https://shopee.com.br/product/' || l_suppkey || '/' || l_partkey AS link, title, {PRICE}, l_partkey::VARCHAR AS key FROM ({SHOP.format('shopee')})""")
+@query(f"""{OFFERS_SQL} SELECT 'https://shopee.com.br/product/' || l_suppkey || '/' || l_partkey AS link, title, {PRICE}, l_partkey::VARCHAR AS key FROM ({SHOP})""")
 def html_cards_shopee(spark, sf):
     """SC16."""
     card = F.concat(
@@ -327,7 +328,7 @@ def html_cards_shopee(spark, sf):
     return _numbers(cards.shopee_cards(_card_pages(spark, sf, "shopee", card)), "link", "title", "price", "key")
 
 
-@query(f"""{OFFERS_SQL} SELECT 'https://www.promobit.com.br/oferta/' || oid AS key, title, {PRICE}, origin AS origin_store FROM ({SHOP.format('promobit')})""")
+@query(f"""{OFFERS_SQL} SELECT 'https://www.promobit.com.br/oferta/' || oid AS key, title, {PRICE}, origin AS origin_store FROM ({SHOP})""")
 def html_cards_promobit(spark, sf):
     """SC17."""
     card = F.concat(
@@ -338,7 +339,7 @@ def html_cards_promobit(spark, sf):
     return _numbers(found.withColumn("origin_store", F.col("extra")["origin_store"]), "key", "title", "price", "origin_store")
 
 
-@query(f"""{OFFERS_SQL} SELECT 'https://www.pelando.com.br/d/' || oid AS key, title || ' R$ ' || translate(format('{{:,.2f}}', price_cents / 100.0::DOUBLE), ',.', '.,') AS title, {PRICE} FROM ({SHOP.format('pelando')})""")
+@query(f"""{OFFERS_SQL} SELECT 'https://www.pelando.com.br/d/' || oid AS key, title || ' R$ ' || translate(format('{{:,.2f}}', price_cents / 100.0::DOUBLE), ',.', '.,') AS title, {PRICE} FROM ({SHOP})""")
 def html_links_deals(spark, sf):
     """SC18: the title stands beside the link."""
     card = F.concat(
@@ -347,7 +348,7 @@ def html_links_deals(spark, sf):
     return _numbers(cards.deal_links(_card_pages(spark, sf, "pelando", card)), "key", "title", "price")
 
 
-@query(f"""{OFFERS_SQL} SELECT l_partkey::VARCHAR AS key, title, {PRICE}, 'https://cdn/' || l_partkey AS image_url FROM ({SHOP.format('aliexpress')})""")
+@query(f"""{OFFERS_SQL} SELECT l_partkey::VARCHAR AS key, title, {PRICE}, 'https://cdn/' || l_partkey AS image_url FROM ({SHOP})""")
 def html_links_items(spark, sf):
     """SC18: title, price and picture come from the card around the link."""
     card = F.concat(
@@ -367,7 +368,12 @@ def page_links(spark, sf):
         F.size(select_all(n, tag("p"))).cast("bigint").alias("paragraphs"))
 
 
-@query()
+_DECODED = "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
+for _entity, _letter in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
+    _DECODED = f"replace({_DECODED}, '&{_entity};', '{_letter}')"
+
+
+@query(f"SELECT page_id, {_DECODED} AS title FROM pages")
 def page_titles(spark, sf):
     """UD2: the title text of whole captured pages."""
     nodes = table(spark, sf, "pages").withColumn("nodes", page_nodes("html"))

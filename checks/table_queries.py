@@ -37,11 +37,11 @@ def dedup_link_first(spark, sf):
 
 
 @query(f"""{OFFERS_SQL} SELECT oid FROM offers_v WHERE l_shipdate >= '{HISTORY_END}' AND norm_link NOT IN
-  (SELECT norm_link FROM offers_v WHERE l_shipdate < '{HISTORY_END}' AND store = 'amazon')""")
+  (SELECT norm_link FROM offers_v WHERE l_shipdate < '{HISTORY_END}')""")
 def dedup_history_anti(spark, sf):
     """Later offers never published before."""
     offers = normalized(spark, sf)
-    sent = offers.filter(f"l_shipdate < '{HISTORY_END}' AND store = 'amazon'")
+    sent = offers.filter(f"l_shipdate < '{HISTORY_END}'")
     return dedup.unpublished(offers.filter(f"l_shipdate >= '{HISTORY_END}'"), sent).select("oid")
 
 
@@ -73,7 +73,7 @@ def dedup_ttl(spark, sf):
         F.count("*").alias("accepted"), F.unix_micros(F.max("ts")).alias("last_accepted"))
 
 
-@query(f"""{OFFERS_SQL}, seen AS (SELECT norm_link FROM offers_v WHERE store = 'amazon' AND l_shipdate < '{HISTORY_END}'),
+@query(f"""{OFFERS_SQL}, seen AS (SELECT norm_link FROM offers_v WHERE l_shipdate < '{HISTORY_END}'),
   asked AS (SELECT norm_link FROM offers_v WHERE l_shipdate >= '{HISTORY_END}'),
   n AS (SELECT (SELECT count(*) FROM asked) AS a, (SELECT count(*) FROM asked WHERE norm_link NOT IN (SELECT norm_link FROM seen)) AS m,
     (SELECT count(DISTINCT norm_link) FROM seen) AS s)
@@ -81,31 +81,75 @@ def dedup_ttl(spark, sf):
 def key_reuse(spark, sf):
     """A7."""
     offers = normalized(spark, sf)
-    seen = offers.filter(f"store = 'amazon' AND l_shipdate < '{HISTORY_END}'").select(
+    seen = offers.filter(f"l_shipdate < '{HISTORY_END}'").select(
         "link", F.col("collected_at").alias("accepted_at"))
     asked = offers.filter(f"l_shipdate >= '{HISTORY_END}'")
     return dedup.key_reuse(asked, seen, "link", "collected_at", 20 * 365 * 86400)
 
 
-def _titled_documents(spark, sf):
-    return table(spark, sf, "documents").select(
-        "doc_id", F.substring("text", 1, 80).alias("title"),
-        F.concat(F.lit("https://www.docs.example/"), F.col("source"), F.lit("/"), F.md5("text")).alias("link"))
+# Titles of known similarity: one letter 20 times, then k times x. Two of them have 20 letters in common if the
+# first letter is the same, and the smaller number of x in any case.
+def coded_title(code, k):
+    letter = F.decode(F.unhex(F.hex(F.lit(0x4E00) + code)), "UTF-16BE")
+    return F.concat(F.repeat(letter, F.lit(20)), F.repeat(F.lit("x"), k.cast("int")))
 
 
-@query()
+def _coded_sql(code, k):
+    return f"repeat(chr((19968 + {code})::INTEGER), 20) || repeat('x', {k}::INTEGER)"
+
+
+def _ratio_sql(c1, k1, c2, k2):
+    return f"2.0 * (CASE WHEN {c1} = {c2} THEN 20 ELSE 0 END + least({k1}, {k2})) / (40 + {k1} + {k2})"
+
+
+_CUSTOMERS = """customers AS (SELECT c_custkey AS id, c_custkey * 7919 % 400 AS c, c_custkey % 10 AS k,
+  'https://www.docs.example/' || c_nationkey || '/' || c_custkey % 97 AS link FROM customer)"""
+
+
+def _coded_customers(spark, sf):
+    key = F.col("c_custkey")
+    return table(spark, sf, "customer").select(
+        key.alias("id"), coded_title(key * 7919 % 400, key % 10).alias("title"),
+        F.concat(F.lit("https://www.docs.example/"), "c_nationkey", F.lit("/"), key % 97).alias("link"))
+
+
+def first_wins_sql(rows: str, recent: str = "[]::STRUCT(c BIGINT, k BIGINT)[]") -> str:
+    """G1 as one step per row of ``rows`` (n from 1, c, k, link), with the last 200 titles and the accepted links."""
+    like = _ratio_sql("r.c", "r.k", "t.c", "t.k")
+    dull = "list_contains(s.links, r.link)"
+    same = f"len(list_filter(s.recent, lambda t: {like} >= 0.85)) > 0"
+    return f"""steps AS (SELECT 0::BIGINT AS n, {recent} AS recent, []::VARCHAR[] AS links, '' AS verdict
+    UNION ALL SELECT r.n, CASE WHEN {dull} OR {same} THEN s.recent ELSE list_append(s.recent, {{'c': r.c, 'k': r.k}})[-200:] END,
+      CASE WHEN {dull} OR {same} THEN s.links ELSE list_append(s.links, r.link) END,
+      CASE WHEN {dull} THEN 'same_link' WHEN {same} THEN 'similar_title' ELSE 'accepted' END
+    FROM steps s JOIN {rows} r ON r.n = s.n + 1)"""
+
+
+@query(f"""WITH {_CUSTOMERS}, recent AS (SELECT c, k FROM customers WHERE id % 3 = 0 ORDER BY id DESC LIMIT 200)
+  SELECT id FROM customers a WHERE id % 3 <> 0 AND NOT EXISTS (
+    SELECT 1 FROM recent r WHERE {_ratio_sql('a.c', 'a.k', 'r.c', 'r.k')} >= 0.85)""")
 def dedup_fuzzy(spark, sf):
-    """Documents unlike the 200 newest titles with a good quality label."""
-    docs = _titled_documents(spark, sf)
-    history_docs = docs.join(table(spark, sf, "labels").filter("quality = 1"), "doc_id", "left_semi")
-    recent = dedup.recent_titles(history_docs, [F.col("doc_id").desc()])
-    return dedup.unlike_recent(docs.join(history_docs, "doc_id", "left_anti"), recent).select("doc_id")
+    """Two thirds of the titles, without those like the 200 newest of the others."""
+    rows = _coded_customers(spark, sf)
+    recent = dedup.recent_titles(rows.filter("id % 3 = 0"), [F.col("id").desc()])
+    return dedup.unlike_recent(rows.filter("id % 3 <> 0"), recent).select("id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CUSTOMERS}, numbered AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM customers),
+  {first_wins_sql('numbered')} SELECT id, verdict FROM numbered JOIN steps USING (n)""")
 def dedup_composite(spark, sf):
-    """G1: links and titles, first wins."""
-    return first_wins(_titled_documents(spark, sf), ["doc_id"], chunk_rows=2000).select("doc_id", "verdict")
+    """G1: links and titles, first wins; the recent titles slide."""
+    return first_wins(_coded_customers(spark, sf), ["id"], chunk_rows=2000).select("id", "verdict")
+
+
+@query(f"""WITH RECURSIVE {_CUSTOMERS}, numbered AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM customers),
+  {first_wins_sql('numbered')}, v AS (SELECT verdict FROM steps WHERE n > 0)
+  SELECT count(*) AS total_checked, count(*) FILTER (verdict = 'accepted') AS "unique", count(*) FILTER (verdict <> 'accepted') AS duplicates,
+  count(*) FILTER (verdict = 'same_link') AS same_link, count(*) FILTER (verdict = 'similar_title') AS similar_title,
+  printf('%.1f%%', count(*) FILTER (verdict <> 'accepted') / count(*)::DOUBLE * 100) AS duplicate_rate FROM v""")
+def duplicate_funnel(spark, sf):
+    """A5."""
+    return counts.duplicate_funnel(first_wins(_coded_customers(spark, sf), ["id"], chunk_rows=2000))
 
 
 @query()
@@ -114,14 +158,18 @@ def dedup_composite_offers(spark, sf):
     return counts.duplicate_funnel(first_wins(offers_view(spark, sf), ARRIVAL))
 
 
-@query()
+@query(f"""WITH o AS (SELECT o_orderkey AS id, o_custkey, o_orderkey * 7919 % 5 AS c, o_orderkey % 10 AS k FROM orders),
+  b AS (SELECT *, lag(c) OVER w AS pc, lag(k) OVER w AS pk FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY id))
+  SELECT id, CAST({_ratio_sql('c', 'k', 'pc', 'pk')} AS DOUBLE) AS ratio FROM b WHERE pc IS NOT NULL""")
 def title_similarity(spark, sf):
-    """UD1: every document against the one before it of the same source."""
+    """UD1: the title of every order against that of its customer's order before."""
     from pyspark.sql import Window
-    docs = table(spark, sf, "documents").select("doc_id", "source", normalize_title(F.substring("text", 1, 80)).alias("norm"))
-    before = F.lag("norm").over(Window.partitionBy("source", F.floor(F.col("doc_id") / 1000)).orderBy("doc_id"))
-    return docs.withColumn("before", before).filter(F.col("before").isNotNull()).select(
-        "doc_id", title_ratio(F.col("norm"), F.col("before")).alias("ratio"))
+    key = F.col("o_orderkey")
+    rows = table(spark, sf, "orders").select(
+        key.alias("id"), "o_custkey", normalize_title(coded_title(key * 7919 % 5, key % 10)).alias("norm"))
+    before = F.lag("norm").over(Window.partitionBy("o_custkey").orderBy("id"))
+    return rows.withColumn("before", before).filter(F.col("before").isNotNull()).select(
+        "id", title_ratio(F.col("norm"), F.col("before")).alias("ratio"))
 
 
 # --- coupons -------------------------------------------------------------------------
@@ -284,14 +332,14 @@ def retention(spark, sf):
 
 
 _ABSENT = f"""absent AS (SELECT * FROM offers_v WHERE l_shipdate >= '{HISTORY_END}'
-  AND norm_link NOT IN (SELECT norm_link FROM offers_v WHERE l_shipdate < '{HISTORY_END}' AND store = 'amazon')
+  AND norm_link NOT IN (SELECT norm_link FROM offers_v WHERE l_shipdate < '{HISTORY_END}')
   QUALIFY row_number() OVER (PARTITION BY norm_link ORDER BY {ARRIVAL_SQL}) = 1)"""
 
 
 def _inserted(spark, sf):
     offers = normalized(spark, sf).withColumn("score", F.lit(0.0))
     rows = history.as_sent(offers, F.col("collected_at"), F.lit(1)).columns
-    sent = offers.filter(f"l_shipdate < '{HISTORY_END}' AND store = 'amazon'")
+    sent = offers.filter(f"l_shipdate < '{HISTORY_END}'")
     new = offers.filter(f"l_shipdate >= '{HISTORY_END}'")
     kept = history.insert_if_absent(new, sent, ARRIVAL)
     return history.as_sent(kept, F.col("collected_at"), F.lit(1)).select(*rows)
@@ -418,24 +466,41 @@ OPTIONS = CycleOptions(
     gate={"blocked": BLOCKED_WORDS}, scoring={"value_keywords": VALUE_WORDS, "low_value": LOW_WORDS})
 
 
-@query()
+_CODE, _EXTRA = "(l_partkey * 7 + l_suppkey) % 2000", "l_linenumber * 3 % 10"
+_CODED_OFFERS = OFFERS_SQL.replace(
+    "p_name || ' ' || p_brand || ' ' || p_type || ' size ' || p_size AS title", f"{_coded_sql(_CODE, _EXTRA)} AS title")
+assert _CODED_OFFERS != OFFERS_SQL
+
+
+def coded_offers(spark, sf):
+    """The offers with titles of known similarity."""
+    return offers_view(spark, sf).withColumn("title", coded_title(F.expr(_CODE), F.expr(_EXTRA)))
+
+
+@query(f"""{SCORED_SQL.replace(OFFERS_SQL, _CODED_OFFERS).replace('WITH ', 'WITH RECURSIVE ', 1)},
+  fresh AS (SELECT *, {_CODE} AS c, {_EXTRA} AS k, norm_link AS nl,
+    row_number() OVER (ORDER BY {ARRIVAL_SQL}) AS n FROM scored WHERE {_REASON} IS NULL AND l_shipdate >= '{HISTORY_END}'
+    AND norm_link NOT IN (SELECT norm_link FROM offers_v WHERE l_shipdate < '{HISTORY_END}')),
+  rows_ AS (SELECT n, c, k, nl AS link FROM fresh), {first_wins_sql('rows_')}
+  SELECT oid, store, title, norm_link AS link, CAST(price AS DOUBLE) AS price, score FROM fresh JOIN steps USING (n)
+  WHERE verdict = 'accepted' AND score >= 15 ORDER BY score DESC, {ARRIVAL_SQL} LIMIT 10""")
 def cycle_top10(spark, sf):
     """The best offers of all later offers, given the earlier ones as published."""
-    offers = offers_view(spark, sf)
-    sent = normalized(spark, sf).filter(f"l_shipdate < '{HISTORY_END}' AND store = 'amazon'")
+    offers = coded_offers(spark, sf)
+    sent = normalized(spark, sf).filter(f"l_shipdate < '{HISTORY_END}'")
     result = run_cycle(offers.filter(f"l_shipdate >= '{HISTORY_END}'"), ARRIVAL, sent=sent, options=OPTIONS)
     return result.published.select("oid", "store", "title", "link", F.col("price").cast("double").alias("price"), "score")
 
 
 @query(f"""{SCORED_SQL}, fresh AS (SELECT * FROM scored WHERE {_REASON} IS NULL AND l_shipdate >= '{HISTORY_END}'
-    AND norm_link NOT IN (SELECT norm_link FROM offers_v WHERE l_shipdate < '{HISTORY_END}' AND store = 'amazon')
+    AND norm_link NOT IN (SELECT norm_link FROM offers_v WHERE l_shipdate < '{HISTORY_END}')
     QUALIFY row_number() OVER (PARTITION BY norm_link ORDER BY {ARRIVAL_SQL}) = 1)
   SELECT oid, store, score FROM fresh WHERE score >= 15 ORDER BY score DESC, {ARRIVAL_SQL} LIMIT 10""")
 def cycle_top10_links_only(spark, sf):
     """The cycle without the title comparison, all of it one plan."""
     from vitrine.operators import scoring
     gated = quality.quality_gate(normalized(spark, sf), blocked=BLOCKED_WORDS).filter("reason IS NULL")
-    sent = normalized(spark, sf).filter(f"l_shipdate < '{HISTORY_END}' AND store = 'amazon'")
+    sent = normalized(spark, sf).filter(f"l_shipdate < '{HISTORY_END}'")
     fresh = dedup.unpublished(gated.filter(f"l_shipdate >= '{HISTORY_END}'"), sent)
     unique = tiers.keep_first(fresh, ["link"], ARRIVAL)
     scored = scoring.score(unique, value_keywords=VALUE_WORDS, low_value=LOW_WORDS)

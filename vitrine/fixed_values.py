@@ -79,12 +79,12 @@ LOW_QUALITY_WORDS = (
     "adesivo", "chaveiro", "meia", "cueca", "calcinha",
 )
 SPAM_PATTERNS = (
-    r"teste?\s+de\s+produto", r"produto\s+indispon[ií]vel", r"fora\s+de\s+estoque",
+    r"teste?[\s\p{Z}]+de[\s\p{Z}]+produto", r"produto[\s\p{Z}]+indispon[ií]vel", r"fora[\s\p{Z}]+de[\s\p{Z}]+estoque",
     r"esgotado", r"ganhe dinheiro", r"renda extra", r"trabalhe em casa",
 )
 GENERIC_PATTERNS = (
-    r"^(produto|item|oferta|promoção)\s*[0-9]*$",
-    r"^[0-9\s.,R$]+$",
+    r"^(produto|item|oferta|promoção)[\s\p{Z}]*[0-9]*$",
+    r"^[0-9\s\p{Z}.,R$]+$",
 )
 PLAIN_SYMBOLS = " .,/-()[]!@#$%&*+:;'\""
 DIGITAL_TERMS = (

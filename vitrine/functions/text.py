@@ -55,12 +55,12 @@ def parse_price(text: Column, thousands_dot: bool = False) -> Column:
 
 def price_in_text(text: Column) -> Column:
     """P5. The first ``R$ 1.234,56`` inside free text."""
-    return parse_price(F.regexp_extract(text, r"R\$\s*([0-9.]+,[0-9]{2})", 1))
+    return parse_price(F.regexp_extract(text, rf"R\${SPACE}*([0-9.]+,[0-9]{{2}})", 1))
 
 
 def percent_in_text(text: Column, need_sign: bool = True) -> Column:
     """P9. The first integer (before a percent sign when ``need_sign``)."""
-    return F.regexp_extract(text, r"([0-9]+)\s*%" if need_sign else "([0-9]+)", 1).try_cast("double")
+    return F.regexp_extract(text, rf"([0-9]+){SPACE}*%" if need_sign else "([0-9]+)", 1).try_cast("double")
 
 
 def clean_title(title: Column) -> Column:
@@ -91,9 +91,9 @@ def coupon_in_title(title: Column) -> Column:
     """P22. A coupon code announced in a title; 3-25 characters, not a plain number."""
     upper = F.upper(title)
     announced = F.regexp_extract(
-        upper, r"(?:CUPOM|CÓD(?:IGO)?|COD(?:IGO)?|USE)\s*:?\s*([A-Z0-9]{3,25})", 1)
+        upper, rf"(?:CUPOM|CÓD(?:IGO)?|COD(?:IGO)?|USE){SPACE}*:?{SPACE}*([A-Z0-9]{{3,25}})", 1)
     spelled = F.regexp_extract(
-        upper, r"(?:CUPOM|CÓDIGO|CODIGO)\s+([A-Z0-9]+(?:[0-9]+|[0-9]+[A-Z]+))", 1)
+        upper, rf"(?:CUPOM|CÓDIGO|CODIGO){SPACE}+([A-Z0-9]+(?:[0-9]+|[0-9]+[A-Z]+))", 1)
     return F.coalesce(_usable_code(announced), _usable_code(spelled))
 
 
@@ -101,13 +101,13 @@ def coupon_in_label(label: Column) -> Column:
     """P22. A product label: the word after ``CUPOM``, else the whole label that mentions it."""
     return F.when(
         F.contains(F.upper(label), F.lit("CUPOM")),
-        F.coalesce(first_group(label, r"(?i)CUPOM\s+(\S+)"), strip(label)),
+        F.coalesce(first_group(label, rf"(?i)CUPOM{SPACE}+([^\s\p{{Z}}]+)"), strip(label)),
     )
 
 
 def coupon_in_badge(badge: Column) -> Column:
     """P22. Badge text such as ``Cupom: SHARK20``; short texts are no coupon."""
-    named = F.upper(first_group(badge, r"(?i)(?:cupom|código)\s*:?\s*([A-Z0-9]+)"))
+    named = F.upper(first_group(badge, rf"(?i)(?:cupom|código){SPACE}*:?{SPACE}*([A-Z0-9]+)"))
     return F.coalesce(named, F.when(F.length(badge) >= 3, badge))
 
 

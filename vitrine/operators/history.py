@@ -83,20 +83,25 @@ def kept_since(sent: DataFrame, now: Column, days: int = fv.RETENTION_DAYS) -> D
 
 
 def purge_before(spark: SparkSession, path: str, cutoff: datetime) -> None:
-    """SK6 on the stored table: drop whole days, rewrite only the day of the cutoff."""
+    """SK6 on the stored table: rewrite the day of the cutoff, then drop what lies wholly before it.
+
+    The kept rows stand in the table before anything is deleted; a purge that broke off is simply run again.
+    """
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = root.getFileSystem(spark._jsc.hadoopConfiguration())
     day = cutoff.date().isoformat()
-    for status in files.listStatus(root):
-        name = status.getPath().getName()
-        if name.startswith("sent_date=") and name < f"sent_date={day}":
-            files.delete(status.getPath(), True)
     boundary = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/sent_date={day}")
+    gone = [s.getPath() for s in files.listStatus(root)
+            if s.getPath().getName().startswith("sent_date=") and s.getPath().getName() < f"sent_date={day}"]
     if files.exists(boundary):
         on_day = read_sent(spark, path).filter(F.col("sent_date") == F.lit(day).cast("date"))
         kept = write_out(on_day.filter(F.col("sent_at") >= F.lit(cutoff)), run_folder(spark, "purge"), "kept")
-        files.delete(boundary, True)
         append_batch(kept, path, ["sent_date", "batch_id"])
+        batches = {f"batch_id={r[0]}" for r in kept.select("batch_id").distinct().collect()}
+        gone += [s.getPath() for s in files.listStatus(boundary)
+                 if s.getPath().getName().startswith("batch_id=") and s.getPath().getName() not in batches]
+    for partition in gone:
+        files.delete(partition, True)
 
 
 # --- reads -------------------------------------------------------------------
@@ -122,9 +127,9 @@ def lowest_price(prices: DataFrame) -> DataFrame:
 
 
 def prices_of(prices: DataFrame, links: DataFrame) -> DataFrame:
-    """J12, L8. Price series of the given links, ascending in time."""
+    """J12, L8. Price series of the given links; each link's rows lie together, ascending in time."""
     return prices.join(links.select("link"), "link", "left_semi").select(
-        "link", "price", "recorded_at").orderBy("link", "recorded_at")
+        "link", "price", "recorded_at").repartition("link").sortWithinPartitions("link", "recorded_at")
 
 
 def price_series(prices: DataFrame, order: Sequence = ("recorded_at",), slice_days: int = 30) -> DataFrame:

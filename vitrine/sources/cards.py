@@ -14,7 +14,7 @@ from vitrine.functions.html import (
     has, inside, let, page_nodes, raw_text_of, select_all, tag, text_of, texts, with_fields,
 )
 from vitrine.operators.quality import is_digital, real_discount
-from vitrine.sources.common import explode_offers, offer, text_map
+from vitrine.sources.common import at_most, explode_offers, offer, text_map
 
 ENOUGH_CARDS = 3
 
@@ -36,7 +36,7 @@ def _explode(pages: DataFrame, parsed: Column, tier: int) -> DataFrame:
 
 
 # --- SC13 --------------------------------------------------------------------
-def amazon_cards(pages: DataFrame, tier: int = 1) -> DataFrame:
+def amazon_cards(pages: DataFrame, tier: int = 1, most: int | None = 40) -> DataFrame:
     nodes = F.col("nodes")
     cards = first_cards(nodes, (
         attr_is("data-component-type", "s-search-result"),
@@ -106,11 +106,11 @@ def amazon_cards(pages: DataFrame, tier: int = 1) -> DataFrame:
             code=code, title=title, price=price, whole=whole, cents=cents, listed=listed,
             percent=percent, image=image, coupon=coupon, ships_free=ships_free)
 
-    return _explode(pages, F.transform(F.slice(cards, 1, 40), card_offer), tier)
+    return _explode(pages, F.transform(at_most(cards, most), card_offer), tier)
 
 
 # --- SC14 --------------------------------------------------------------------
-def mercadolivre_cards(pages: DataFrame, tier: int = 1) -> DataFrame:
+def mercadolivre_cards(pages: DataFrame, tier: int = 1, most: int | None = 25) -> DataFrame:
     nodes = F.col("nodes")
     cards = first_cards(nodes, (
         cls("andes-card", "poly-card"), attr_like("class", "poly-card"), cls("promotion-item"),
@@ -142,11 +142,11 @@ def mercadolivre_cards(pages: DataFrame, tier: int = 1) -> DataFrame:
             code=urls.listing_code(href), href=href, title=title, price=price, listed=listed,
             percent=percent, image=_picture(image, "src", "data-src"))
 
-    return _explode(pages, F.transform(F.slice(cards, 1, 25), card_offer), tier)
+    return _explode(pages, F.transform(at_most(cards, most), card_offer), tier)
 
 
 # --- SC15 --------------------------------------------------------------------
-def terabyte_cards(pages: DataFrame, tier: int = 0) -> DataFrame:
+def terabyte_cards(pages: DataFrame, tier: int = 0, most: int | None = 35) -> DataFrame:
     nodes, base = F.col("nodes"), "https://www.terabyteshop.com.br"
     product_link = every(tag("a"), attr_like("href", "/produto/"))
     cards = first_cards(nodes, (
@@ -202,11 +202,11 @@ def terabyte_cards(pages: DataFrame, tier: int = 0) -> DataFrame:
             built, link=urls.drop_query(full, drop_slash=False), title=title, price=price,
             listed=listed, badge=badge, image=image, coupon=coupon)
 
-    return _explode(pages, F.transform(F.slice(cards, 1, 35), card_offer), tier)
+    return _explode(pages, F.transform(at_most(cards, most), card_offer), tier)
 
 
 # --- SC16 --------------------------------------------------------------------
-def shopee_cards(pages: DataFrame, tier: int = 2) -> DataFrame:
+def shopee_cards(pages: DataFrame, tier: int = 2, most: int | None = 30) -> DataFrame:
     nodes = F.col("nodes")
     cards = select_all(nodes, either(
         attr_like("class", "flash-sale-item"), attr_like("class", "FlashSaleItem"),
@@ -226,11 +226,11 @@ def shopee_cards(pages: DataFrame, tier: int = 2) -> DataFrame:
             extra=text_map(shop_id=shop_id, item_id=item_id, source=F.lit("shopee_html")),
         )
 
-    return _explode(pages, F.transform(F.slice(cards, 1, 30), card_offer), tier)
+    return _explode(pages, F.transform(at_most(cards, most), card_offer), tier)
 
 
 # --- SC17 --------------------------------------------------------------------
-def promobit_cards(pages: DataFrame, tier: int = 2) -> DataFrame:
+def promobit_cards(pages: DataFrame, tier: int = 2, most: int | None = 30) -> DataFrame:
     nodes = F.col("nodes")
     offer_link = every(tag("a"), attr_like("href", "/oferta/"))
     cards = first_cards(nodes, (
@@ -256,7 +256,7 @@ def promobit_cards(pages: DataFrame, tier: int = 2) -> DataFrame:
             extra=text_map(origin_store=shop, source=F.lit("promobit_html")),
         )
 
-    parsed = F.transform(F.slice(cards, 1, 30), card_offer)
+    parsed = F.transform(at_most(cards, most), card_offer)
     return explode_offers(pages, F.filter(parsed, lambda o: o["key"].isNotNull()), tier)
 
 
@@ -289,7 +289,7 @@ def deal_links(pages: DataFrame, tier: int = 2) -> DataFrame:
     return _explode(pages, F.transform(links, link_offer), tier)
 
 
-def item_links(pages: DataFrame, tier: int = 1) -> DataFrame:
+def item_links(pages: DataFrame, tier: int = 1, most: int | None = 20) -> DataFrame:
     """Links to item pages; price and picture come from the card around the link."""
     nodes = F.col("nodes")
     links = select_all(nodes, every(tag("a"), attr_like("href", "/item/")))
@@ -316,4 +316,4 @@ def item_links(pages: DataFrame, tier: int = 1) -> DataFrame:
             extra=text_map(ali_id=number),
         )
 
-    return _explode(pages, F.transform(F.slice(links, 1, 20), link_offer), tier)
+    return _explode(pages, F.transform(at_most(links, most), link_offer), tier)

@@ -59,6 +59,11 @@ def offer(
     )
 
 
+def at_most(items: Column, most: int | None) -> Column:
+    """W5. The first ``most`` items; all of them for ``None``."""
+    return items if most is None else F.slice(items, 1, most)
+
+
 def explode_offers(pages: DataFrame, offers: Column, tier: int) -> DataFrame:
     """One row per offer. Narrow: page order and position are kept as columns."""
     return (
