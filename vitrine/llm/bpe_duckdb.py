@@ -20,12 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from vitrine.llm.common import steps
+from vitrine.llm.common import steps, tidy
 from vitrine.llm.pieces import PieceCoder, narrowest
 
 LONG = 128
 #: Words per recursive query and tokens per decoding query: they bound memory only.
-WORDS, TOKENS = 30_000, 1_000_000
+WORDS, TOKENS = 15_000, 400_000
+
+#: Words, and pieces of text, that a task remembers; beyond it the memory starts anew.
+REMEMBERED = 250_000
 
 ROUNDS = """
 CREATE OR REPLACE TEMP TABLE rounds AS
@@ -97,7 +100,7 @@ class Bpe:
 
         self.ranks, self.words_of = ranks, regex.compile(pattern).findall
         self.type = narrowest(max(ranks.values()) + 1)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         pairs = [(left, right, rank) for token, rank in ranks.items() for i in range(1, len(token))
                  if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None]
         columns = list(zip(*pairs)) or [(), (), ()]
@@ -107,7 +110,7 @@ class Bpe:
             "body": pa.array([t.decode("latin-1") for t in ranks], pa.string())}))
         self.byte = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
         self.known: dict[str, bytes] = {}
-        self.encode = PieceCoder(self._pieces)
+        self.encode = PieceCoder(self._pieces, REMEMBERED)
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
@@ -215,5 +218,5 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, text: str = "te
     names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * bodies]
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(
-        run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        tidy(run), f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
         + ", ids binary, decoded binary" * bodies)

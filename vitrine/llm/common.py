@@ -37,6 +37,34 @@ def steps(batches: Iterable[pa.RecordBatch], text: str = "text",
             yield batch.slice(start), texts[start:]
 
 
+def trim() -> None:
+    """Give freed memory back: a Python worker outlives its task, and stages to come need the room."""
+    import ctypes
+    import gc
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def tidy(task):
+    """``task`` over batches, with its memory given back at the end."""
+    def batches(given):
+        yield from task(given)
+        trim()
+    return batches
+
+
+def tidy_group(task):
+    def group(given: pa.Table) -> pa.Table:
+        out = task(given)
+        trim()
+        return out
+    return group
+
+
 def store(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a folder every executor reaches, and the folder's path in it."""
     return pafs.FileSystem.from_uri(uri)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from vitrine.llm.common import Committed, steps, store, tasks_of
+from vitrine.llm.common import Committed, steps, store, tasks_of, tidy
 from vitrine.llm.pieces import LibraryCoder
 from vitrine.shared import run_folder, write_out
 
@@ -48,7 +48,7 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_I
                     names=["file", "doc_no", "doc_id"])
                 n += len(texts)
 
-    written = docs.select("doc_id", "text").mapInArrow(run, "file long, doc_no long, doc_id long")
+    written = docs.select("doc_id", "text").mapInArrow(tidy(run), "file long, doc_no long, doc_id long")
     return write_out(written, folder, "places")
 
 
@@ -85,7 +85,7 @@ def scan(spark: SparkSession, folder: str, kind: str = "<u2", end_id: int = END_
 
     blocks = blocks_of(spark, folder, np.dtype(kind).itemsize, block_bytes)
     found = blocks.repartition(tasks_of(spark), "file", "block").mapInArrow(
-        run, "file long, block long, n_ids long, ends array<int>")
+        tidy(run), "file long, block long, n_ids long, ends array<int>")
     found = write_out(found, folder, "found")
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)

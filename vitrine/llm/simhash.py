@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vitrine.llm.common import steps, tasks_of
+from vitrine.llm.common import steps, tasks_of, tidy
 from vitrine.shared import run_folder, write_out
 
 #: Hashes of words that a task remembers at most.
@@ -144,7 +144,7 @@ def with_edited(docs: DataFrame) -> DataFrame:
     order = (F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     ordered = docs.select("doc_id", "text").repartitionByRange(
         tasks_of(docs.sparkSession), *order).sortWithinPartitions(*order, "text")
-    written = write_out(ordered.mapInArrow(inside, schema), run_folder(docs.sparkSession, "simhash"), "rows")
+    written = write_out(ordered.mapInArrow(tidy(inside), schema), run_folder(docs.sparkSession, "simhash"), "rows")
     # two rows per partition: the only window without a key runs over their numbers
     first = written.where("edge = 'first'")
     by_part = Window.orderBy("part")

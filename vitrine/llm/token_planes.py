@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from vitrine.llm.common import Committed, steps, store, tasks_of
+from vitrine.llm.common import Committed, steps, store, tasks_of, tidy
 from vitrine.llm.pieces import LibraryCoder
 from vitrine.shared import run_folder, write_out
 
@@ -173,7 +173,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, m
     ordered = (
         rows.repartitionByRange(max(8, tasks_of(spark) // TASKS_PER_FILE), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text"))
-    written = ordered.mapInArrow(run, "file long, name string, n_docs long, n_ids long")
+    written = ordered.mapInArrow(tidy(run), "file long, name string, n_docs long, n_ids long")
     files = write_out(written, folder, "files")
     # one row per file: the running total over them is the only window without a key
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
@@ -203,7 +203,7 @@ def read_digests(spark: SparkSession, folder: str, files: DataFrame) -> DataFram
 
     count = max(1, min(files.count(), tasks_of(spark)))
     return files.repartitionByRange(count, "file").mapInArrow(
-        run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, mode: str = "byte") -> DataFrame:
