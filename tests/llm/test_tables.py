@@ -72,14 +72,13 @@ def test_join_of_near_copies(spark, seed):
     assert sorted(map(tuple, ngram_join.duplicate_classes(docs).collect()), key=str) == classes(list(enumerate(rows)))
 
 
-def test_join_without_leader_rounds(spark, monkeypatch):
+def test_join_of_hot_shingles_as_rows(spark, monkeypatch):
     rng = random.Random(4)
     base = prose(rng, 60).split(" ")
     rows = [" ".join(w if rng.random() > 0.04 else "new" for w in base) for _ in range(30)]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    for rounds, pays in ((0, 4), (6, 0)):
-        monkeypatch.setattr(ngram_join, "LEADER_ROUNDS", rounds)
-        monkeypatch.setattr(ngram_join, "PAYS", pays)
+    for hot in (1, 4):
+        monkeypatch.setattr(ngram_join, "HOT", hot)
         assert sorted(map(tuple, ngram_join.duplicate_classes(docs).collect()), key=str) == classes(list(enumerate(rows)))
 
 

@@ -12,8 +12,10 @@ sets have one key and count once from there on, so copies cost nothing more.
 
 A group of near copies would give all its pairs. But linked groups are what is asked for, and inside a group
 that is known to be linked no further link changes anything. So each shingle first joins its documents to one
-leader; links found contract into groups; this is repeated with other leaders while it pays. In the end all
-pairs from different groups that share a prefix shingle are checked. No candidate is dropped.
+leader, the one with the smallest share of shingles of its own; links found contract into groups. Then all pairs
+from different groups that share a prefix shingle and pass the filters are checked. No candidate is dropped.
+The prefixes are joined in packed ranges, too; shingles of more than ``HOT`` documents, which their frequency
+class tells, are joined as rows, which Spark can split.
 
 Shingles and sets are identified by 64-bit hashes (56 bits once the frequency class is in front).
 
@@ -30,18 +32,18 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from vitrine.llm.common import tasks_of
+from vitrine.llm.common import tasks_of, tidy, tidy_group
 from vitrine.llm.components import contract
 from vitrine.shared import run_folder, write_out
 
 #: Characters of text whose shingles a task sorts at once, and ranges per shuffle partition: they bound memory only.
-SORTED_CHARS, RANGES = 12_000_000, 4
+SORTED_CHARS, RANGES = 10_000_000, 2
+#: Documents of a shingle from which on its postings are rows.
+HOT = 20_000
 #: Words that a task remembers the hash of at most.
 REMEMBERED = 400_000
-#: Rounds with leaders at most, and the pairs per posting above which another one pays.
-LEADER_ROUNDS, PAYS = 4, 4
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -124,7 +126,7 @@ def _shingle_task(n: int, ranges: int):
                         here, place = np.unique(owner[a:b], return_inverse=True)
                         kind = np.uint16 if len(here) < 1 << 16 else np.uint32
                         rows.append((k, str(np.dtype(kind)), pack_sorted(flat[a:b]), pack(place.astype(kind)),
-                                     own[here].tobytes(), total[here].tobytes()))
+                                     own[here].tobytes(), pack(total[here])))
             return _batch(rows, _PACKED)
 
         for batch in batches:
@@ -167,7 +169,7 @@ def _frequency_task(targets: int):
                 place = unpack(row["b"], row["part"])
                 hashes.append(unpack_sorted(row["a"]))
                 keys.append(np.frombuffer(row["c"], np.uint64)[place])
-                sizes.append(np.frombuffer(row["d"], np.uint32)[place])
+                sizes.append(unpack(row["d"], "<u4")[place])
         if hashes:
             h, key, size = np.concatenate(hashes), np.concatenate(keys), np.concatenate(sizes)
             order = np.lexsort((key, h))
@@ -190,11 +192,12 @@ def _frequency_task(targets: int):
     return run
 
 
-_SETS = {"key": pa.int64(), "n": pa.int64(), "alone": pa.int64(), "shared": pa.binary(), "prefix": pa.list_(pa.int64())}
+_SETS = {"key": pa.int64(), "n": pa.int64(), "alone": pa.int64(), "shared": pa.binary(), "prefix": pa.int64()}
 
 
 def _prefix_task(num: int, den: int):
-    """The documents of one target that may have a partner: their shared shingles and the prefix among these."""
+    """The documents of one target that may have a partner: their shared shingles in order, and how many of these
+    belong to the prefix."""
     def run(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         ranked = np.concatenate([unpack(r["a"], "<u8") for r in rows])
@@ -210,11 +213,89 @@ def _prefix_task(num: int, den: int):
         for k in np.flatnonzero(alone < prefix).tolist():
             own = ranked[first[k]:first[k] + held[k]]
             out.append((int(key[first[k]].view(np.int64)), int(n[k]), int(alone[k]), own.tobytes(),
-                        own[:prefix[k] - alone[k]].view(np.int64)))
+                        min(int(held[k]), int(prefix[k] - alone[k]))))
         return pa.Table.from_batches([_batch(out, _SETS)])
     return run
 
 
+# --- candidates -------------------------------------------------------------------
+_POSTING = np.dtype([("shingle", "<u8"), ("key", "<i8"), ("group", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("alone", "<i4")])
+_POSTINGS = {"range": pa.int32(), "body": pa.binary(), "shingle": pa.int64(), "key": pa.int64(), "group": pa.int64(),
+             "n": pa.int64(), "pos": pa.int64(), "own_share": pa.float64()}
+_PAIRS = {"a": pa.int64(), "b": pa.int64(), "n_a": pa.int64(), "n_b": pa.int64()}
+
+
+def _posting_task(ranges: int, hot: int):
+    """Prefix postings, packed by range of the hash; those of hot shingles as rows."""
+    hottest = np.uint64(int(np.floor(4 * np.log2(hot))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for r in batch.to_pylist():
+                own = np.zeros(r["prefix"], _POSTING)
+                own["shingle"] = np.frombuffer(r["shared"], "<u8")[:r["prefix"]]
+                own["pos"] = r["alone"] + np.arange(r["prefix"])
+                for name in ("key", "group", "n", "alone"):
+                    own[name] = r[name]
+                parts.append(own)
+            if not parts:
+                continue
+            every = np.concatenate(parts)
+            is_hot = every["shingle"] >> np.uint64(56) >= hottest
+            rows = [(None, None, int(np.int64(x["shingle"].view(np.int64))), int(x["key"]), int(x["group"]), int(x["n"]),
+                     int(x["pos"]), float(x["alone"] / x["n"])) for x in every[is_hot]]
+            rest = every[~is_hot]
+            place = (rest["shingle"] % np.uint64(ranges)).astype(np.int64)
+            order = np.argsort(place, kind="stable")
+            rest, place = rest[order], place[order]
+            cuts = np.flatnonzero(np.diff(place, prepend=-1, append=ranges)).tolist()
+            rows += [(int(place[a]), pack(rest[a:b].view("V36")), *[None] * 6) for a, b in zip(cuts, cuts[1:])]
+            yield _batch(rows, _POSTINGS)
+    return run
+
+
+def _meeting(x: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Length and positional filter for postings i and j of one shingle."""
+    a, b = x["n"][i].astype(np.int64), x["n"][j].astype(np.int64)
+    before = np.minimum(x["pos"][i], x["pos"][j]) + 1
+    # shingles of one document only come first and are never common
+    before = np.minimum(before, np.minimum(x["pos"][i] - x["alone"][i], x["pos"][j] - x["alone"][j]) + 1)
+    rest = np.minimum(a - x["pos"][i], b - x["pos"][j]) - 1
+    return (den * np.minimum(a, b) >= num * np.maximum(a, b)) & ((num + den) * (before + rest) >= num * (a + b))
+
+
+def _pair_task(num: int, den: int, leaders: bool):
+    """Candidate pairs of one range: documents with their leader, or all from different groups; each pair once."""
+    def run(group: pa.Table) -> pa.Table:
+        x = np.concatenate([unpack(r, "V36").view(_POSTING) for r in group.column("body").to_pylist()])
+        x = x[np.lexsort((x["key"], x["alone"] / x["n"], x["shingle"]))]
+        first = np.flatnonzero(np.append(True, x["shingle"][1:] != x["shingle"][:-1]))
+        ends = np.repeat(np.append(first[1:], len(x)), np.diff(np.append(first, len(x))))
+        left, right = [], []
+
+        def meet(i: np.ndarray, j: np.ndarray) -> None:
+            fit = (x["group"][i] != x["group"][j]) & _meeting(x, i, j, num, den)
+            left.append(i[fit])
+            right.append(j[fit])
+
+        if leaders:
+            lead = np.repeat(first, np.diff(np.append(first, len(x))))
+            others = np.flatnonzero(lead != np.arange(len(x)))
+            meet(lead[others], others)
+        else:
+            here, lag = np.arange(len(x)), 1
+            while len(here := here[here + lag < ends[here]]):
+                meet(here, here + lag)
+                lag += 1
+        i, j = (np.concatenate(v) if v else np.zeros(0, int) for v in (left, right))
+        swap = x["key"][i] > x["key"][j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        pairs = np.unique(np.stack([x["key"][i], x["key"][j], x["n"][i], x["n"][j]], axis=1), axis=0)
+        return pa.table([pa.array(pairs[:, k], pa.int64()) for k in range(4)], names=list(_PAIRS))
+    return run
+
+
 def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 2) -> int:
     """At least so many values are in only one of two sorted arrays: both are cut at the middle value of one."""
     gap = abs(len(x) - len(y))
@@ -253,24 +334,18 @@ class Join:
         self.spark, t = docs.sparkSession, Fraction(similarity)
         self.num, self.den = t.numerator, t.denominator
         self.folder = run_folder(self.spark, "ngrams")
-        tasks = tasks_of(self.spark)
+        self.tasks = tasks_of(self.spark)
         packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-            _shingle_task(n, RANGES * tasks), "range int, part string, a binary, b binary, c binary, d binary")
+            tidy(_shingle_task(n, RANGES * self.tasks)), "range int, part string, a binary, b binary, c binary, d binary")
         found = write_out(packed.groupBy("range").applyInArrow(
-            _frequency_task(tasks), "target int, doc_id long, n_shingles long, key long, a binary, b binary, c binary"),
+            tidy_group(_frequency_task(self.tasks)), "target int, doc_id long, n_shingles long, key long, a binary, b binary, c binary"),
             self.folder, "found")
         self.docs = found.where("target is null").select("doc_id", "n_shingles", "key")
         self.sets = write_out(found.where("target is not null").select("target", "a", "b", "c").groupBy("target").applyInArrow(
-            _prefix_task(self.num, self.den), "key long, n long, alone long, shared binary, prefix array<long>"),
+            tidy_group(_prefix_task(self.num, self.den)), "key long, n long, alone long, shared binary, prefix long"),
             self.folder, "sets")
 
-    def _postings(self) -> DataFrame:
-        """Shared shingles of prefixes: shingle, key, n, pos (0 is the rarest of the whole set)."""
-        rows = self.sets.select("key", "n", "alone", F.posexplode("prefix").alias("i", "shingle"))
-        return rows.select("shingle", "key", "n", (F.col("alone") + F.col("i")).alias("pos"),
-                           (F.col("alone") / F.col("n")).alias("own_share"))
-
-    def _fits(self, before) -> F.Column:
+    def _fits(self, before) -> Column:
         """Length and positional filter for matching postings; ``before``: common shingles up to the match at most."""
         x, y = F.col("n_a"), F.col("n_b")
         lengths = self.den * F.least(x, y) >= self.num * F.greatest(x, y)
@@ -281,77 +356,50 @@ class Join:
         """a, b, n_a, n_b to a, b, linked."""
         side = lambda key, body: self.sets.select(F.col("key").alias(key), F.col("shared").alias(body))
         both = pairs.select("a", "b", "n_a", "n_b").join(side("b", "y"), "b").join(side("a", "x"), "a")
-        return write_out(both.mapInArrow(_verify_task(self.num, self.den), "a long, b long, linked boolean"),
+        return write_out(both.mapInArrow(tidy(_verify_task(self.num, self.den)), "a long, b long, linked boolean"),
                          self.folder, name)
 
-    def _leader_pairs(self, postings: DataFrame, turn: int) -> DataFrame:
-        """Each posting with the leader of its shingle: first the one with least of its own, then one by hash."""
-        rank = F.col("own_share") if turn == 0 else F.xxhash64(F.lit(turn), "key")
-        leaders = postings.groupBy("shingle").agg(F.min(F.struct(rank.alias("r"), "key", "n", "pos", "group")).alias("lead"))
-        both = postings.join(leaders, "shingle").where(F.col("group") != F.col("lead.group")).select(
-            F.col("lead.key").alias("a"), F.col("lead.n").alias("n_a"), F.col("lead.pos").alias("pos_a"),
-            F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
-        fit = both.where(self._fits(F.least("pos_a", "pos_b") + 1))
+    def _hot_pairs(self, postings: DataFrame, leaders: bool) -> DataFrame:
+        """The same candidates for postings that are rows; the joins are ones that Spark splits where they are skewed."""
+        a = postings.select("shingle", F.col("group").alias("g"), F.col("key").alias("a"), F.col("n").alias("n_a"),
+                            F.col("pos").alias("pos_a"), "own_share")
+        b = postings.select("shingle", "group", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
+        if leaders:
+            lead = a.groupBy("shingle").agg(F.min(F.struct("own_share", "a", "n_a", "pos_a", "g")).alias("lead"))
+            a = lead.select("shingle", "lead.*")
+        both = b.join(a, "shingle").where((F.col("g") != F.col("group")) & self._fits(F.least("pos_a", "pos_b") + 1))
         low = F.col("a") < F.col("b")
-        return fit.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-                          F.when(low, F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"),
-                          F.when(low, F.col("n_b")).otherwise(F.col("n_a")).alias("n_b")).distinct()
-
-    def _open_pairs(self, postings: DataFrame) -> DataFrame:
-        """All pairs of different groups that share a prefix shingle, with what they share counted."""
-        left = postings.select("shingle", F.col("group").alias("g"), F.col("key").alias("a"), F.col("n").alias("n_a"),
-                               F.col("pos").alias("pos_a"))
-        right = postings.select("shingle", "group", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
-        x, y = F.col("n_a"), F.col("n_b")
-        both = left.join(right, "shingle").where("a < b and g != `group`").where(
-            self.den * F.least(x, y) >= self.num * F.greatest(x, y))
-        met = both.groupBy("a", "b", "n_a", "n_b").agg(
-            F.count("*").alias("met"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
-        return met.where(self._fits(F.col("met")))
-
-    def _grouped(self, postings: DataFrame, groups: DataFrame | None) -> DataFrame:
-        """Postings with their group, of the shingles that meet more than one group."""
-        if groups is None:
-            named = postings.withColumn("group", F.col("key"))
-        else:
-            named = postings.join(groups, "key", "left").withColumn("group", F.coalesce("group", "key"))
-        several = named.groupBy("shingle").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo != hi")
-        return named.join(several.select("shingle"), "shingle", "left_semi")
-
-    def links(self) -> tuple[DataFrame, DataFrame | None]:
-        """Verified links between keys that decide the groups (a, b), and the groups (key, group)."""
-        every, groups, tested = None, None, None
-        postings = self._postings()
-        for turn in range(LEADER_ROUNDS + 1):
-            still = write_out(self._grouped(postings, groups), self.folder, f"open-{turn}")
-            sizes = still.groupBy("shingle", "group").agg(F.count("*").alias("c")).groupBy("shingle").agg(
-                F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
-            n, pairs = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()
-            if not n:
-                break
-            last = turn == LEADER_ROUNDS or pairs <= PAYS * n
-            found = self._open_pairs(still) if last else self._leader_pairs(still, turn)
-            if tested is not None:
-                found = found.join(tested, ["a", "b"], "left_anti")
-            checked = self._verified(found, f"pairs-{turn}")
-            new = checked.where("linked").select("a", "b")
-            tested = checked.select("a", "b") if tested is None else tested.union(checked.select("a", "b"))
-            every = new if every is None else every.union(new)
-            groups = contract(every, self.folder, f"groups-{turn}")
-            if last:
-                break
-        return every, groups
+        return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+                           F.when(low, F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"),
+                           F.when(low, F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
+
+    def _candidates(self, groups: DataFrame | None, name: str) -> DataFrame:
+        """a, b, n_a, n_b: with the leaders while no groups are known, else from different groups; each once."""
+        sets = self.sets.withColumn("group", F.col("key")) if groups is None else self.sets.join(
+            groups, "key", "left").withColumn("group", F.coalesce("group", "key"))
+        schema = "range int, body binary, shingle long, key long, `group` long, n long, pos long, own_share double"
+        postings = write_out(sets.mapInArrow(tidy(_posting_task(self.tasks, HOT)), schema), self.folder, f"postings-{name}")
+        packed = postings.where("range is not null").select("range", "body").groupBy("range").applyInArrow(
+            tidy_group(_pair_task(self.num, self.den, groups is None)), "a long, b long, n_a long, n_b long")
+        return packed.union(self._hot_pairs(postings.where("range is null"), groups is None)).distinct()
+
+    def links(self) -> DataFrame:
+        """The groups that verified links make: key, group."""
+        tried = self._verified(self._candidates(None, "lead"), "lead")
+        links = tried.where("linked").select("a", "b")
+        groups = contract(links, self.folder, "lead-groups")
+        more = self._candidates(groups, "open").join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        new = self._verified(more, "open").where("linked").select("a", "b")
+        if new.isEmpty():
+            return groups
+        return contract(links.union(new), self.folder, "groups")
 
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id for every document."""
-        _, groups = self.links()
         by_key = self.docs.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("low"))
-        if groups is not None:
-            by_key = by_key.join(groups, "key", "left").withColumn("group", F.coalesce("group", "key"))
-            lowest = by_key.groupBy("group").agg(F.min("low").alias("component_id"))
-            by_key = by_key.join(lowest, "group")
-        else:
-            by_key = by_key.withColumn("component_id", F.col("low"))
+        by_key = by_key.join(self.links(), "key", "left").withColumn("group", F.coalesce("group", "key"))
+        lowest = by_key.groupBy("group").agg(F.min("low").alias("component_id"))
+        by_key = by_key.join(lowest, "group")
         named = write_out(by_key.select("key", "component_id"), self.folder, "named")
         full = self.docs.where("n_shingles > 0").join(named, "key").select("doc_id", "n_shingles", "component_id")
         empty = self.docs.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
