@@ -13,7 +13,8 @@ sets have one key and count once from there on, so copies cost nothing more.
 A group of near copies would give all its pairs. But linked groups are what is asked for, and inside a group
 that is known to be linked no further link changes anything. So each shingle first joins its documents to one
 leader, the one with the smallest share of shingles of its own; links found contract into groups. Then all pairs
-from different groups that share a prefix shingle and pass the filters are checked. No candidate is dropped.
+from different groups that share a prefix shingle and pass the filters (length, position, and the parity of
+hashed counts) are checked. No candidate is dropped.
 The prefixes are joined in packed ranges, too; shingles of more than ``HOT`` documents, which their frequency
 class tells, are joined as rows, which Spark can split.
 
@@ -42,6 +43,8 @@ from vitrine.shared import run_folder, write_out
 SORTED_CHARS, RANGES = 10_000_000, 2
 #: Documents of a shingle from which on its postings are rows.
 HOT = 20_000
+#: Bits of the signature that bounds how much two sets differ.
+SIGN_BITS = 256
 #: Words that a task remembers the hash of at most.
 REMEMBERED = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -219,7 +222,9 @@ def _prefix_task(num: int, den: int):
 
 
 # --- candidates -------------------------------------------------------------------
-_POSTING = np.dtype([("shingle", "<u8"), ("key", "<i8"), ("group", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("alone", "<i4")])
+_POSTING = np.dtype([("shingle", "<u8"), ("key", "<i8"), ("group", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("alone", "<i4"),
+                     ("parity", "<u8", SIGN_BITS // 64)])
+_RAW = f"V{_POSTING.itemsize}"
 _POSTINGS = {"range": pa.int32(), "body": pa.binary(), "shingle": pa.int64(), "key": pa.int64(), "group": pa.int64(),
              "n": pa.int64(), "pos": pa.int64(), "own_share": pa.float64()}
 _PAIRS = {"a": pa.int64(), "b": pa.int64(), "n_a": pa.int64(), "n_b": pa.int64()}
@@ -234,7 +239,9 @@ def _posting_task(ranges: int, hot: int):
             parts = []
             for r in batch.to_pylist():
                 own = np.zeros(r["prefix"], _POSTING)
-                own["shingle"] = np.frombuffer(r["shared"], "<u8")[:r["prefix"]]
+                shared = np.frombuffer(r["shared"], "<u8")
+                own["shingle"] = shared[:r["prefix"]]
+                own["parity"] = np.packbits(np.bincount(shared & np.uint64(SIGN_BITS - 1), minlength=SIGN_BITS) & 1).view("<u8")
                 own["pos"] = r["alone"] + np.arange(r["prefix"])
                 for name in ("key", "group", "n", "alone"):
                     own[name] = r[name]
@@ -250,25 +257,35 @@ def _posting_task(ranges: int, hot: int):
             order = np.argsort(place, kind="stable")
             rest, place = rest[order], place[order]
             cuts = np.flatnonzero(np.diff(place, prepend=-1, append=ranges)).tolist()
-            rows += [(int(place[a]), pack(rest[a:b].view("V36")), *[None] * 6) for a, b in zip(cuts, cuts[1:])]
+            rows += [(int(place[a]), pack(rest[a:b].view(_RAW)), *[None] * 6) for a, b in zip(cuts, cuts[1:])]
             yield _batch(rows, _POSTINGS)
     return run
 
 
 def _meeting(x: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Length and positional filter for postings i and j of one shingle."""
+    """Length, positional and parity filter for postings i and j of one shingle.
+
+    The signature has the parity of the number of shared shingles in each bucket of the hash: a shingle in one
+    set only turns one bit, so the bits in which two signatures differ, and the shingles nobody else has, are
+    a lower bound of the difference of the sets.
+    """
     a, b = x["n"][i].astype(np.int64), x["n"][j].astype(np.int64)
     before = np.minimum(x["pos"][i], x["pos"][j]) + 1
     # shingles of one document only come first and are never common
     before = np.minimum(before, np.minimum(x["pos"][i] - x["alone"][i], x["pos"][j] - x["alone"][j]) + 1)
     rest = np.minimum(a - x["pos"][i], b - x["pos"][j]) - 1
-    return (den * np.minimum(a, b) >= num * np.maximum(a, b)) & ((num + den) * (before + rest) >= num * (a + b))
+    fit = (den * np.minimum(a, b) >= num * np.maximum(a, b)) & ((num + den) * (before + rest) >= num * (a + b))
+    some = np.flatnonzero(fit)
+    i, j, total = i[some], j[some], (a + b)[some]
+    differ = np.bitwise_count(x["parity"][i] ^ x["parity"][j]).sum(axis=1).astype(np.int64) + x["alone"][i] + x["alone"][j]
+    fit[some] = (num + den) * (total - differ) >= 2 * num * total
+    return fit
 
 
 def _pair_task(num: int, den: int, leaders: bool):
     """Candidate pairs of one range: documents with their leader, or all from different groups; each pair once."""
     def run(group: pa.Table) -> pa.Table:
-        x = np.concatenate([unpack(r, "V36").view(_POSTING) for r in group.column("body").to_pylist()])
+        x = np.concatenate([unpack(r, _RAW).view(_POSTING) for r in group.column("body").to_pylist()])
         x = x[np.lexsort((x["key"], x["alone"] / x["n"], x["shingle"]))]
         first = np.flatnonzero(np.append(True, x["shingle"][1:] != x["shingle"][:-1]))
         ends = np.repeat(np.append(first[1:], len(x)), np.diff(np.append(first, len(x))))
@@ -360,7 +377,7 @@ class Join:
                          self.folder, name)
 
     def _hot_pairs(self, postings: DataFrame, leaders: bool) -> DataFrame:
-        """The same candidates for postings that are rows; the joins are ones that Spark splits where they are skewed."""
+        """The same candidates for postings that are rows, without the parity; the joins are ones that Spark splits where they are skewed."""
         a = postings.select("shingle", F.col("group").alias("g"), F.col("key").alias("a"), F.col("n").alias("n_a"),
                             F.col("pos").alias("pos_a"), "own_share")
         b = postings.select("shingle", "group", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
