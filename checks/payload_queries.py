@@ -373,7 +373,7 @@ for _entity, _letter in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
     _DECODED = f"replace({_DECODED}, '&{_entity};', '{_letter}')"
 
 
-@query(f"SELECT page_id, {_DECODED} AS title FROM pages")
+@query(f"SELECT page_id, trim({_DECODED}) AS title FROM pages")
 def page_titles(spark, sf):
     """UD2: the title text of whole captured pages."""
     nodes = table(spark, sf, "pages").withColumn("nodes", page_nodes("html"))

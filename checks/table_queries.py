@@ -192,6 +192,18 @@ def coupon_best_match(spark, sf):
     return lookup.apply_best_coupon(offers_view(spark, sf), _coupon_table(spark, sf)).select("oid", "coupon_code")
 
 
+@query("""WITH t AS (SELECT p_partkey AS id, lower(p_name || ' ' || p_brand || ' ' || p_type) AS title FROM part),
+  r AS (SELECT lower(p_name || ' ' || p_brand) AS keyword, (p_partkey % 9)::INTEGER AS weight, p_partkey AS priority FROM part)
+  SELECT id, arg_min(weight, priority) AS weight FROM t LEFT JOIN r ON contains(title, keyword) GROUP BY id""")
+def keyword_rules(spark, sf):
+    """As many rules as parts, kept as a table."""
+    parts = table(spark, sf, "part")
+    titles = parts.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("title"))
+    rules = parts.select(F.lower(F.concat_ws(" ", "p_name", "p_brand")).alias("keyword"),
+                         (F.col("p_partkey") % 9).cast("int").alias("weight"), F.col("p_partkey").alias("priority"))
+    return lookup.first_rule(titles, rules, ["id"]).select("id", "weight")
+
+
 # --- sources and run log ----------------------------------------------------------------
 NOW = "2024-01-20 00:00:00"
 SOURCE_NAMES = ("view", "click", "signup", "checkout", "purchase")

@@ -1,6 +1,7 @@
 import json
 from decimal import Decimal
 
+from vitrine.functions import text
 from vitrine.functions.html import attr_like, cls, every, has, page_nodes, select_all, tag, text_of
 from vitrine.sources import cards, collect, embedded, json_api
 
@@ -129,3 +130,44 @@ def test_aggregator_tiers(page):
     assert [r.extra["source"] for r in collect.collect(only, ["pelando"]).collect()] == ["pelando_json_ld"]
     plain = page('<a href="/d/zzz">Um titulo bem comprido</a>', "pelando")
     assert [r.extra["source"] for r in collect.collect(plain, ["pelando"]).collect()] == ["pelando_html"]
+
+
+def test_no_break_spaces(values):
+    assert values(text.price_in_text, "por R$ 1.299,90") == [1299.9]
+    assert values(text.percent_in_text, "20 % off") == [20.0]
+    assert values(text.coupon_in_title, "CUPOM: ABC10", "CUPOM ABC10") == ["ABC10", "ABC10"]
+
+
+def test_lists_of_lists_at_any_depth(page):
+    item = '{"itemListElement":[{"url":"https://www.pelando.com.br/d/1","name":"a product of four lists"}]}'
+    wrap = lambda body: f'<script type="application/ld+json">{body}</script>'
+    for depth in (0, 1, 2, 4, 9):
+        found = embedded.linked_deals(page(wrap("[" * depth + item + "]" * depth))).collect()
+        assert [r["key"] for r in found] == ["https://www.pelando.com.br/d/1"], depth
+    plain = '{"url":"https://x/1","name":"long enough name"}'
+    assert embedded.linked_offers(page(wrap(f"[{plain}]"))).count() == 1
+    assert embedded.linked_offers(page(wrap(f"[[{plain}]]"))).count() == 0
+
+
+def test_a_list_of_offers_needs_both_kinds_of_names():
+    real = [{"offerId": 1}, {"offerId": 2}]
+    assert embedded.find_offer_list({"a": [{"offerPrice": 1}, {"offerPrice": 2}], "b": real}) == real
+    deep = {"x": real}
+    for _ in range(9):
+        deep = {"x": deep}
+    assert embedded.find_offer_list(deep) is None and embedded.find_offer_list(deep, None) == real
+
+
+def test_refused_records_do_not_pass(page):
+    body = '{"data":[{"id":12,"attributes":{"title":"a title that is long","product_link":"","price":50}}]}'
+    assert collect.collect(page(body, "kabum", "json"), ["kabum"]).count() == 0
+
+
+def test_pages_come_before_tiers(page):
+    def one(rank):
+        code = f"B00000000{rank}"
+        return page(f'<script>[{{"asin":"{code}","displayPrice":"R$ 20,00"}}]</script><div data-asin="C00000000{rank}" class="s-result-item">'
+                    f'<h2><a href="/x"><span>a card with a long title {rank}</span></a></h2><span class="a-price"><span class="a-offscreen">'
+                    'R$ 30,00</span></span></div>', "amazon", "html", rank)
+    found = collect.collect(one(0).unionByName(one(1)), ["amazon"]).orderBy(*collect.ARRIVAL).collect()
+    assert [(r["page_rank"], r["tier"]) for r in found] == [(0, 0), (0, 1), (1, 0), (1, 1)]
