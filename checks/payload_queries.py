@@ -8,6 +8,7 @@ from checks.offers_view import OFFERS_SQL, offers_view, one_page_per_order, tabl
 from checks.registry import plain, query
 from vitrine.functions import text
 from vitrine.functions.html import decode_entities, has, every, page_nodes, select_all, tag, text_of
+from vitrine.plans import batch
 from vitrine.sources import cards, collect, embedded, json_api
 
 CENTS = 1000
@@ -381,14 +382,35 @@ def page_titles(spark, sf):
     return nodes.select("page_id", text_of(n, F.try_element_at(select_all(n, tag("title")), F.lit(1))).alias("title"))
 
 
-@query()
-def collect_all(spark, sf):
-    """UD2, UD3, O1, O2, SC21: three sources through the registry, valid offers per source."""
+def _three_sources(spark, sf):
     kabum = _obj(id=F.col("oid"), attributes=F.struct(F.col("title"), F.lit("s").alias("product_link"), F.col("price")))
     answers = one_page_per_order(_of(spark, sf, "kabum"), kabum, "json", '{"data":[', ",", "]}")
     search = _obj(id=F.col("oid"), title=F.col("title"), permalink=F.lit("https://m/1"), price=F.col("price"), original_price=F.col("original_price"))
     found = one_page_per_order(_of(spark, sf, "mercadolivre"), search, "json", '{"results":[', ",", "]}")
     card = F.concat(F.lit('<a class="p-card" href="/produto/'), F.col("oid"), F.lit('">'), _tag("h3", F.col("title")), F.lit("</a>"))
     shop = one_page_per_order(_of(spark, sf, "terabyte"), card, "html")
-    raw = answers.unionByName(found).unionByName(shop)
-    return collect.collect(raw, [" KaBuM", "terabyte", "mercadolivre", "nowhere"]).groupBy("store").agg(F.count("*").alias("offers"))
+    return answers.unionByName(found).unionByName(shop)
+
+
+_THREE = f"""{OFFERS_SQL}, three AS (SELECT 'kabum' AS source, price_cents > 0 AS fits FROM offers_v
+  UNION ALL SELECT 'mercadolivre', price_cents > 0 AND tenths >= 100 FROM offers_v UNION ALL SELECT 'terabyte', true FROM offers_v)"""
+
+
+@query(f"{_THREE} SELECT source AS store, count(*) AS offers FROM three WHERE fits GROUP BY 1")
+def collect_all(spark, sf):
+    """UD2, UD3, O1, O2, SC21: three sources through the registry, valid offers per source."""
+    return collect.collect(_three_sources(spark, sf), [" KaBuM", "terabyte", "mercadolivre", "nowhere"]).groupBy(
+        "store").agg(F.count("*").alias("offers"))
+
+
+@query(f"""{_THREE} SELECT source, count(*) FILTER (fits) AS items_found, 0::BIGINT AS errors, 'ok' AS status FROM three GROUP BY 1
+  UNION ALL SELECT 'shopee', 0, 2, 'error' UNION ALL SELECT 'amazon', 0, 1, 'timeout'""")
+def run_log_sources(spark, sf):
+    """UD3, SK3: the run log of three sources with payloads, one with unreadable answers, one that timed out."""
+    raw = _three_sources(spark, sf)
+    bad = spark.createDataFrame([(1, "shopee", "https://x", k, None, "json", '{"items":[') for k in (0, 1)], raw.schema)
+    timing = spark.createDataFrame([("amazon", 45.0, "timeout"), ("kabum", 2.0, None)], "source string, duration_secs double, failure string")
+    enabled = ["kabum", "terabyte", "mercadolivre", "shopee", "amazon"]
+    found = collect.collect(raw.unionByName(bad), enabled)
+    runs = batch.source_runs(raw.unionByName(bad), found, found.limit(0), enabled, F.lit("2024-01-01"), timing)
+    return runs.select("source", "items_found", "errors", "status")

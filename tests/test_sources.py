@@ -171,3 +171,26 @@ def test_pages_come_before_tiers(page):
                     'R$ 30,00</span></span></div>', "amazon", "html", rank)
     found = collect.collect(one(0).unionByName(one(1)), ["amazon"]).orderBy(*collect.ARRIVAL).collect()
     assert [(r["page_rank"], r["tier"]) for r in found] == [(0, 0), (0, 1), (1, 0), (1, 1)]
+
+
+def test_best_coupon_of_the_page_is_given(page):
+    block = ('{"blocks":[{"id":"1","productTitle":"a product with a long title","localizedMinPriceString":"R$ 150,00"}],'
+             '"coupons":[{"couponCode":"TEN","couponValue":"R$10 off","couponLimitation":"em R$50+"},'
+             '{"couponCode":"BIG","couponValue":"R$30 off","couponLimitation":"em R$120+"}]}')
+    body = f"<script>a init-data-start {block} init-data-end</script>"
+    assert [r["coupon_code"] for r in collect.collect(page(body, "aliexpress"), ["aliexpress"]).collect()] == ["BIG"]
+
+
+def test_raw_payloads_to_published_offers(spark, page, tmp_path):
+    from pyspark.sql import functions as F
+    from vitrine.plans.batch import append_runs, run_batch
+    item = ('{"id":%d,"attributes":{"title":"Notebook gamer rapido numero %s","product_link":"p","price":2500,"old_price":5000}}')
+    raw = page('{"data":[' + ",".join([item % (1, "um"), item % (1, "um"), item % (2, "dois azul claro")]) + "]}", "kabum", "json")
+    raw = raw.unionByName(page("{broken", "shopee", "json"))
+    result = run_batch(raw, run_at=F.lit("2024-01-01"), enabled=["kabum", "shopee"])
+    runs = {r["source"]: (r["items_found"], r["items_sent"], r["errors"], r["status"]) for r in result.runs.collect()}
+    assert runs == {"kabum": (2, result.published.count(), 0, "ok"), "shopee": (0, 0, 1, "error")}
+    assert result.published.count() >= 1
+    for _ in range(2):
+        append_runs(result.runs, f"{tmp_path}/runs", F.lit(7))
+    assert spark.read.parquet(f"{tmp_path}/runs").count() == 2
