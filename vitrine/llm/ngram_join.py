@@ -292,7 +292,9 @@ def _pair_task(num: int, den: int, leaders: bool):
         left, right = [], []
 
         def meet(i: np.ndarray, j: np.ndarray) -> None:
-            fit = (x["group"][i] != x["group"][j]) & _meeting(x, i, j, num, den)
+            apart = x["group"][i] != x["group"][j]
+            i, j = i[apart], j[apart]
+            fit = _meeting(x, i, j, num, den)
             left.append(i[fit])
             right.append(j[fit])
 
