@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+#: Resident memory of a Python worker from which on it is trimmed after a task.
+TRIM_BYTES = 250 << 20
 #: Characters of text that one step inside a task holds at once; a single longer text is a step of its own.
 STEP_CHARS = 4_000_000
 
@@ -41,6 +43,12 @@ def trim() -> None:
     """Give freed memory back: a Python worker outlives its task, and stages to come need the room."""
     import ctypes
     import gc
+    try:
+        with open("/proc/self/statm") as sizes:
+            if int(sizes.read().split()[1]) * 4096 < TRIM_BYTES:
+                return
+    except OSError:  # another system
+        pass
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
