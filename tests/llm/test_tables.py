@@ -82,6 +82,19 @@ def test_join_of_hot_shingles_as_rows(spark, monkeypatch):
         assert sorted(map(tuple, ngram_join.duplicate_classes(docs).collect()), key=str) == classes(list(enumerate(rows)))
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Two texts under one id, copies without id, repeated rows; a column named like the row number."""
+    rng = random.Random(6)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    rows = [(1, a, "a"), (8, a, "gone"), (8, "same id, other text", "c"), (None, a, "gone"), (5, b, "e"), (5, b, "e"), (5, b, "e"),
+            (None, c, "g"), (None, c, "g"), (None, c.upper(), "g"), (3, None, "i"), (3, None, "i"), (None, "", "k")]
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(parts)
+        got = ngram_join.one_of_each(docs)
+        assert got.columns == docs.columns
+        assert sorted(r["row"] for r in got.collect()) == ["a", "c", "e", "g", "i", "i", "k"]
+
+
 def test_suffix_bound_is_a_lower_bound():
     rng = np.random.default_rng(0)
     for _ in range(200):

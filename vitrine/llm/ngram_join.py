@@ -431,7 +431,17 @@ def duplicate_classes(docs: DataFrame, n: int = 5, similarity: str = "0.75") ->
 
 
 def one_of_each(docs: DataFrame, n: int = 5, similarity: str = "0.75") -> DataFrame:
-    """The documents without those whose group has a smaller doc_id. Rows of equal doc_id and null ones stay as
-    they are; documents without shingles stay."""
-    gone = duplicate_classes(docs, n, similarity).where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One document of each group: the row of least doc_id, null ones last; of rows that tie, the first written.
+    Documents without shingles stay.
+
+    Rows are told apart by a number written once, so neither a shared nor a missing doc_id decides.
+    """
+    folder = run_folder(docs.sparkSession, "one-of-each")
+    keyed = write_out(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), folder, "docs")
+    found = duplicate_classes(keyed.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), n, similarity)
+    groups = write_out(found.select(F.col("doc_id").alias("row"), "component_id"), folder, "groups")
+    ids = keyed.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    stays = groups.join(ids, "row").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row")
+    gone = groups.select("row").join(stays, "row", "left_anti")
+    return keyed.join(gone, "row", "left_anti").select("doc.*")
