@@ -127,6 +127,32 @@ def test_separator_scan_across_blocks(spark, block):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_separator_scan_keeps_every_id(spark, library):
+    """Texts that hold the string of the end of a document keep its ids; the file decodes to the texts."""
+    mark = "<|endoftext|>"
+    texts = ["plain text", mark, mark * 3, f"a {mark} b{mark}", "", None, "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = separator_scan.count_documents(docs, JSON).collect()
+    ids = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert sorted((r["doc_id"], r["n_tokens"], r["ended"]) for r in got) == [(i, len(x) + 1, True) for i, x in enumerate(ids)]
+    folder = run_folder(spark, "flat-whole")
+    separator_scan.write_flat(docs, folder, JSON)
+    fs, base = pafs.FileSystem.from_uri(folder)
+    with fs.open_input_file(f"{base}/flat-000000.ids") as file:
+        flat = np.frombuffer(file.read(), "<u2").tolist()
+    assert flat == [x for own in ids for x in (*own, separator_scan.END_ID)]
+    back, own = [], []
+    for x in flat:
+        if x == separator_scan.END_ID:
+            back.append(library.decode(own, skip_special_tokens=False))
+            own = []
+        else:
+            own.append(x)
+    assert back == [t or "" for t in texts]
+    with pytest.raises(Exception, match="is an id of the vocabulary"):
+        separator_scan.write_flat(docs, run_folder(spark, "flat-bad"), JSON, 50256)
+
+
 def test_separator_scan_of_nothing(none):
     assert separator_scan.count_documents(none, JSON).count() == 0
 

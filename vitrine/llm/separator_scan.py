@@ -26,22 +26,20 @@ from vitrine.llm.pieces import LibraryCoder
 from vitrine.shared import run_folder, write_out
 
 BLOCK_BYTES = 4 << 20
-END_ID = 50256
+#: Beyond the vocabulary (0 to 50256, <|endoftext|> the last), so that no text yields it.
+END_ID = 50257
 
 
 def write_flat(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Write a flat file per task. A row per document: file, doc_no (its place in the file), doc_id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, number, n = LibraryCoder(tokenizer), TaskContext.get().partitionId(), 0
+        if end_id < len(coder.width):  # inside a text it would end it early
+            raise ValueError(f"the end id {end_id} is an id of the vocabulary")
         end = np.array([end_id], coder.type).tobytes()
         with Committed(folder, f"flat-{number:06d}.ids") as file:
             for batch, texts in steps(batches):
-                bodies = coder(texts)
-                for i, body in enumerate(bodies):  # an end id inside a text would end it early
-                    ids = np.frombuffer(body, coder.type)
-                    if (ids == end_id).any():
-                        bodies[i] = ids[ids != end_id].tobytes()
-                file.write(end.join([*bodies, b""]))
+                file.write(end.join([*coder(texts), b""]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(texts), number), pa.int64()),
                      pa.array(np.arange(n, n + len(texts)), pa.int64()), batch.column("doc_id").cast(pa.int64())],
