@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vitrine.llm import (
-    bpe_duckdb, chat_template, conversation_trie, fair_mix, histogram_shard, multi_index, ngram_join, quality_gam, separator_scan, simhash,
-    stable_neighbours, token_planes)
+    bpe_duckdb, chat_template, conversation_trie, crf_pii, fair_mix, histogram_shard, multi_index, ngram_join, quality_gam,
+    separator_scan, simhash, stable_neighbours, token_planes)
 from vitrine.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -60,12 +60,16 @@ def op11_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.hard_negatives(multi_index.relabelled(multi_index.scaled(table(spark, sf_dir, "embeddings"))))
 
 
+def op12_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.family_nodes(table(spark, sf_dir, "conversations"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_gam, op2_token_planes, op3_simhash, op4_separator_scan, op5_duckdb_bpe, op6_chat_template, op7_ngram_join,
-    op8_fair_mix, op9_histogram_shard, op10_stable_neighbours, op11_multi_index,
+    op8_fair_mix, op9_histogram_shard, op10_stable_neighbours, op11_multi_index, op12_crf_pii,
     op13_conversation_trie)}
 ORACLES: dict[str, str] = {"op11_multi_index": multi_index.MINED_SQL, "op13_conversation_trie": conversation_trie.FAMILY_SQL}
