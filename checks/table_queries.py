@@ -12,7 +12,7 @@ from checks.scalar_queries import (
 from vitrine.functions.similarity import title_ratio
 from vitrine.functions.text import normalize_title
 from vitrine.functions.urls import normalize_link
-from vitrine.operators import counts, dedup, history, lookup, quality, tiers
+from vitrine.operators import counts, dedup, history, lookup, quality, tiers, titles
 from vitrine.operators.greedy import first_wins
 from vitrine.plans import reports
 from vitrine.plans.cycle import CycleOptions, run_cycle
@@ -135,6 +135,32 @@ def dedup_fuzzy(spark, sf):
     return dedup.unlike_recent(rows.filter("id % 3 <> 0"), recent).select("id")
 
 
+_FOURS = """fours AS (SELECT c_custkey AS id, c_custkey // 4 % 20000 AS c, c_custkey * 13 % 30 AS k FROM customer)"""
+
+
+@query(f"""WITH {_FOURS}, known AS (SELECT DISTINCT c, k FROM fours WHERE id % 3 = 0),
+  asked AS (SELECT DISTINCT c, k FROM fours WHERE id % 3 <> 0),
+  fresh AS (SELECT c, k FROM asked a WHERE NOT EXISTS (SELECT 1 FROM known r WHERE {_ratio_sql('a.c', 'a.k', 'r.c', 'r.k')} >= 0.85))
+  SELECT id FROM fours JOIN fresh USING (c, k) WHERE id % 3 <> 0""")
+def titles_unlike_known(spark, sf):
+    """J3 with a whole table: two thirds of the titles, without those like any title of the others."""
+    key = F.col("c_custkey")
+    rows = table(spark, sf, "customer").select(
+        key.alias("id"), coded_title(F.floor(key / 4) % 20000, key * 13 % 30).alias("title"))
+    return titles.unlike_known(rows.filter("id % 3 <> 0"), rows.filter("id % 3 = 0")).select("id")
+
+
+@query(f"""WITH {_CUSTOMERS}, s AS (SELECT DISTINCT s_suppkey * 31 % 400 AS c, s_suppkey % 9 AS k FROM supplier),
+  a AS (SELECT DISTINCT c, k FROM customers)
+  SELECT {_coded_sql('a.c', 'a.k')} AS norm, {_coded_sql('s.c', 's.k')} AS other_norm, CAST({_ratio_sql('a.c', 'a.k', 's.c', 's.k')} AS DOUBLE) AS ratio
+  FROM a JOIN s ON (a.c <> s.c OR a.k <> s.k) AND {_ratio_sql('a.c', 'a.k', 's.c', 's.k')} >= 0.85""")
+def titles_similar_pairs(spark, sf):
+    """J3, UD1: all pairs of different titles of customers and suppliers that resemble each other."""
+    key = F.col("s_suppkey")
+    known = table(spark, sf, "supplier").select(normalize_title(coded_title(key * 31 % 400, key % 9)).alias("norm"))
+    return titles.similar_pairs(_coded_customers(spark, sf).select(normalize_title(F.col("title")).alias("norm")), known)
+
+
 @query(f"""WITH RECURSIVE {_CUSTOMERS}, numbered AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM customers),
   {first_wins_sql('numbered')} SELECT id, verdict FROM numbered JOIN steps USING (n)""")
 def dedup_composite(spark, sf):
