@@ -9,6 +9,7 @@ from checks.registry import plain, query
 from vitrine import fixed_values as fv
 from vitrine.functions import pricing, text, urls
 from vitrine.operators import counts, lookup, quality, scoring, tiers
+from vitrine.operators.keywords import with_first_rule
 
 VALUE_WORDS = (("widget", 10), ("gizmo", 9), ("gear", 8), ("bolt", 7), ("ring", 6))
 LOW_WORDS = ("anvil", "rod")
@@ -206,9 +207,9 @@ def _first_word(value: str, words) -> str:
 _PLAIN = r"[\p{L}\p{N} .,/()\[\]!@#$%&*+:;''\"\-]"
 
 
-def _sql_reason(title, link, price, blocked=fv.BLOCKED_KEYWORDS) -> str:
+def _sql_reason(title, link, price, blocked=fv.BLOCKED_KEYWORDS, blocked_word=None) -> str:
     spam, generic = "|".join(fv.SPAM_PATTERNS), "|".join(fv.GENERIC_PATTERNS)
-    blocked_word, poor_word = _first_word(f"lower({title})", blocked), _first_word(f"lower({title})", fv.LOW_QUALITY_WORDS)
+    blocked_word, poor_word = blocked_word or _first_word(f"lower({title})", blocked), _first_word(f"lower({title})", fv.LOW_QUALITY_WORDS)
     amount = f"printf('%.2f', CAST({price} AS DOUBLE))"
     return f"""CASE WHEN length({_sql_strip(title)}) < 15 THEN 'titulo_curto'
       WHEN {link} IS NULL OR NOT starts_with({link}, 'http') THEN 'link_invalido'
@@ -330,8 +331,32 @@ def keyword_first_match(spark, sf):
     """J4, W4, SC20: the word list comes as a table read from comma-separated text."""
     listed = spark.range(1).select(F.posexplode(text.text_list(F.lit(" widget, gizmo,,gear ,bolt, ring,"))).alias("priority", "keyword"))
     rules = listed.select(F.lit("value").alias("rule_set"), "keyword", F.lit(1).alias("weight"), "priority")
-    words = [word for word, _ in lookup.load_rules(rules, "value")]
-    return offers_view(spark, sf).select("oid", quality.first_keyword(F.lower("title"), words).alias("keyword"))
+    offers = offers_view(spark, sf).select("oid", F.lower("title").alias("lowered"))
+    return with_first_rule(offers, lookup.load_rules(rules, "value"), "lowered", "rule").select("oid", "rule.keyword")
+
+
+_PART_RULES = """SELECT lower(p_name || ' ' || p_brand) AS keyword, min(p_partkey) AS priority FROM part WHERE p_size % 7 = 0 GROUP BY 1"""
+
+
+@query(f"""{OFFERS_SQL}, rules AS ({_PART_RULES}),
+  hit AS (SELECT title, arg_min(keyword, priority) AS word FROM (SELECT DISTINCT title FROM offers_v) JOIN rules ON contains(lower(title), keyword) GROUP BY 1)
+  SELECT oid, {_sql_reason('o.title', 'link', 'price', blocked_word='word')} AS reason FROM offers_v o LEFT JOIN hit ON hit.title = o.title""")
+def quality_reasons_by_table(spark, sf):
+    """J4, F2.4: a list of blocked names that is a table, a seventh of all parts long."""
+    names = table(spark, sf, "part").filter("p_size % 7 = 0").select(
+        F.lower(F.concat_ws(" ", "p_name", "p_brand")).alias("keyword"), F.col("p_partkey").alias("priority"))
+    return quality.quality_gate(offers_view(spark, sf), blocked=names).select("oid", "reason")
+
+
+@query(f"""{OFFERS_SQL}, words AS (SELECT lower(p_type) AS keyword, min(p_partkey) AS priority FROM part GROUP BY 1),
+  rules AS (SELECT keyword, priority, priority % 11 AS weight FROM words),
+  hit AS (SELECT title, arg_min(weight, priority) AS points FROM (SELECT DISTINCT title FROM offers_v) JOIN rules ON contains(lower(title), keyword) GROUP BY 1)
+  SELECT oid, coalesce(points, 0) * 2 AS keyword_points FROM offers_v o LEFT JOIN hit ON hit.title = o.title""")
+def score_keywords_by_table(spark, sf):
+    """The weights of all part types as a table."""
+    words = table(spark, sf, "part").groupBy(F.lower("p_type").alias("keyword")).agg(F.min("p_partkey").alias("priority"))
+    scored = scoring.score_parts(offers_view(spark, sf), value_keywords=words.withColumn("weight", F.col("priority") % 11))
+    return scored.select("oid", F.col("parts.keyword").alias("keyword_points"))
 
 
 def _sql_choose(value: str, pairs, default: str) -> str:

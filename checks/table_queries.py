@@ -224,10 +224,10 @@ def coupon_best_match(spark, sf):
 def keyword_rules(spark, sf):
     """As many rules as parts, kept as a table."""
     parts = table(spark, sf, "part")
-    titles = parts.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("title"))
+    named = parts.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("title"))
     rules = parts.select(F.lower(F.concat_ws(" ", "p_name", "p_brand")).alias("keyword"),
                          (F.col("p_partkey") % 9).cast("int").alias("weight"), F.col("p_partkey").alias("priority"))
-    return lookup.first_rule(titles, rules, ["id"]).select("id", "weight")
+    return lookup.first_rule(named, rules).select("id", "weight")
 
 
 # --- sources and run log ----------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vitrine import fixed_values as fv
 from vitrine.functions import text
 from vitrine.functions.pricing import calculated_discount
+from vitrine.operators.keywords import first_keyword, with_first_rule
 
 
 def is_valid_record(title: Column, link: Column, price: Column) -> Column:
@@ -19,14 +20,8 @@ def is_valid_record(title: Column, link: Column, price: Column) -> Column:
     )
 
 
-def first_keyword(lowered: Column, keywords: Sequence[str]) -> Column:
-    """First keyword of the list that occurs in the text, null when none does."""
-    if not keywords:
-        return F.lit(None).cast("string")
-    hit = F.lit(None).cast("string")
-    for keyword in reversed(keywords):
-        hit = F.when(F.contains(lowered, F.lit(keyword.lower())), F.lit(keyword)).otherwise(hit)
-    return hit
+def _hit(lowered: Column, words: Sequence[str] | Column) -> Column:
+    return words if isinstance(words, Column) else first_keyword(lowered, words)
 
 
 def _named(reason: str, detail: Column) -> Column:
@@ -40,17 +35,17 @@ def _two_decimals(amount: Column) -> Column:
 def refusal_reason(
     title: Column, link: Column, price: Column, *,
     min_price: float = fv.MIN_PRICE, max_price: float = fv.MAX_PRICE,
-    min_title: int = fv.MIN_TITLE, blocked: Sequence[str] | None = None, lowered: Column | None = None,
+    min_title: int = fv.MIN_TITLE, blocked: Sequence[str] | Column | None = None,
+    poor: Sequence[str] | Column = fv.LOW_QUALITY_WORDS, lowered: Column | None = None,
 ) -> Column:
     """F2. Why an offer is refused (first failing check), null when it passes.
 
-    ``blocked=None`` takes the default words, an empty list blocks none. ``lowered`` is the title in
-    lower case where that is at hand.
+    ``blocked=None`` takes the default words, an empty list blocks none. A column is the word found, as
+    ``quality_gate`` gives it for lists that are tables. ``lowered`` is the title in lower case where that is at hand.
     """
     blocked = fv.BLOCKED_KEYWORDS if blocked is None else blocked
     lowered = F.lower(title) if lowered is None else lowered
-    blocked_word = first_keyword(lowered, blocked)
-    poor_word = first_keyword(lowered, fv.LOW_QUALITY_WORDS)
+    blocked_word, poor_word = _hit(lowered, blocked), _hit(lowered, poor)
     symbols = F.length(F.regexp_replace(title, _plain_characters(), ""))
     trimmed = text.strip(title)
     return (
@@ -77,10 +72,17 @@ def reason_code(reason: Column) -> Column:
 
 
 def quality_gate(offers: DataFrame, **limits) -> DataFrame:
-    """Adds ``reason``; rows with a null reason pass, the others are the reject side output."""
+    """Adds ``reason``; rows with a null reason pass, the others are the reject side output.
+
+    The word lists ``blocked`` and ``poor`` may be tables of any length (keyword, priority).
+    """
     lowered = offers.withColumn("_lowered", F.lower("title"))
+    for name in ("blocked", "poor"):
+        if isinstance(limits.get(name), DataFrame):
+            lowered = with_first_rule(lowered, limits[name], "_lowered", f"_{name}")
+            limits = {**limits, name: F.col(f"_{name}.keyword")}
     return lowered.withColumn("reason", refusal_reason(
-        F.col("title"), F.col("link"), F.col("price"), lowered=F.col("_lowered"), **limits)).drop("_lowered")
+        F.col("title"), F.col("link"), F.col("price"), lowered=F.col("_lowered"), **limits)).drop("_lowered", "_blocked", "_poor")
 
 
 def real_discount(price: Column, list_price: Column, declared: Column,
