@@ -56,7 +56,9 @@ def running_totals(per_batch: DataFrame, batch: str, columns: Sequence[str], blo
     carried = sums.select("_block", *[
         F.coalesce(F.sum(c).over(up_to), F.lit(0)).alias(f"_{c}") for c in columns])
     inside = Window.partitionBy("_block").orderBy(batch).rowsBetween(Window.unboundedPreceding, 0)
-    return numbered.join(carried, "_block").select(
+    # rows without a batch form a block of their own, before all others
+    met = numbered.join(carried.withColumnRenamed("_block", "_of"), F.col("_block").eqNullSafe(F.col("_of")))
+    return met.select(
         batch, *columns, *[(F.sum(c).over(inside) + F.col(f"_{c}")).alias(f"total_{c}") for c in columns])
 
 

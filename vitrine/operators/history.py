@@ -137,7 +137,7 @@ def price_series(prices: DataFrame, order: Sequence = ("recorded_at",), slice_da
 
     One link may hold a large part of all observations, so the series is cut into time slices: each
     slice is a window group of its own and takes the state of the earlier ones (lowest and last price)
-    from a small per-slice summary.
+    from a small per-slice summary. Rows without a link are one series; rows without a time come first in theirs.
     """
     number = F.floor(F.unix_seconds(F.col("recorded_at").cast("timestamp")) / (86400 * slice_days))
     cut = prices.withColumn("_slice", number)
@@ -150,12 +150,14 @@ def price_series(prices: DataFrame, order: Sequence = ("recorded_at",), slice_da
         F.min("_low").over(over_slices.rowsBetween(Window.unboundedPreceding, -1)).alias("_low_before"),
         F.lag("_last").over(over_slices).alias("_last_before"))
     inside = Window.partitionBy("link", "_slice").orderBy(*order)
+    carried = carried.withColumnsRenamed({"link": "_link", "_slice": "_of"})
+    met = cut.join(carried, F.col("link").eqNullSafe(F.col("_link")) & F.col("_slice").eqNullSafe(F.col("_of")))
     return (
-        cut.join(carried, ["link", "_slice"])
+        met
         .withColumn("lowest_so_far", F.least(
             F.min("price").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("_low_before")))
         .withColumn("previous_price", F.coalesce(F.lag("price").over(inside), F.col("_last_before")))
         .withColumn("change", F.col("price") - F.col("previous_price"))
         .withColumn("at_lowest", F.col("price") == F.col("lowest_so_far"))
-        .drop("_slice", "_low_before", "_last_before")
+        .drop("_slice", "_low_before", "_last_before", "_link", "_of")
     )
