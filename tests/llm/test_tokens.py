@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vitrine.llm import bpe_duckdb, separator_scan, token_planes
-from vitrine.llm.pieces import LibraryCoder, cut
+from vitrine.llm.pieces import LibraryCoder, _PARTS
 from vitrine.shared import run_folder
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -29,13 +29,12 @@ def plain():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-BLANKS = ["a  b", "a \n b", " a", "a ", "a   ", "\n a", "a  b", "a  b", "a\t b  \n\n  c", "", " ", "it 's", "x  \r\n y", "a\x1c b"]
+BLANKS = ["don't\nstop.Now 12a½ b½.c", "a.\n\nB", "x_y's 日本.z", "é.É\n", "a\u00adb \u0301c", "a  b", "a \n b", " a", "a ", "a   ", "\n a", "a  b", "a  b", "a\t b  \n\n  c", "", " ", "it 's", "x  \r\n y", "a\x1c b"]
 
 
 @pytest.mark.parametrize("text", BLANKS)
 def test_pieces_encode_like_the_whole_text(library, plain, text):
-    parts = cut(text)
-    assert parts[0] + "".join(" " + p for p in parts[1:]) == text
+    assert "".join(_PARTS(text)) == text
     got = np.frombuffer(LibraryCoder(JSON)([text])[0], "<u2").tolist()
     assert got == library.encode(text, add_special_tokens=False).ids
     own = bpe_duckdb.Bpe(bpe_duckdb.read_ranks(RANKS), public_tokenizers.PATTERN)

@@ -1,6 +1,6 @@
 """Byte-level BPE by rank file: DuckDB recursive queries inside Spark's tasks encode, ordered aggregation decodes.
 
-Each task splits its texts by the pattern and keeps the distinct words it has not met. Their bytes become
+Each task splits its texts by the pattern and keeps the distinct words that its memory lacks. Their bytes become
 token-position rows. One recursive query joins neighbours with the merge table, contracts the leftmost pair of
 minimum rank of every word, and goes on until no word has a pair left. Words beyond ``LONG`` bytes would
 take as many rounds as bytes; they are merged by the same rule with a heap.
@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from vitrine.llm.common import steps, tidy
-from vitrine.llm.pieces import PieceCoder, narrowest
+from vitrine.llm.pieces import PartCoder, narrowest
 
 LONG = 128
 #: Words per recursive query and tokens per decoding query: they bound memory only.
 WORDS, TOKENS = 15_000, 400_000
 
-#: Words, and pieces of text, that a task remembers; beyond it the memory starts anew.
-REMEMBERED = 250_000
+#: Parts of text that a task remembers; beyond it the memory starts anew.
+REMEMBERED = 400_000
 
 ROUNDS = """
 CREATE OR REPLACE TEMP TABLE rounds AS
@@ -110,23 +110,20 @@ class Bpe:
             "body": pa.array([t.decode("latin-1") for t in ranks], pa.string())}))
         self.byte = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
         self.known: dict[str, bytes] = {}
-        self.encode = PieceCoder(self._pieces, REMEMBERED)
+        self.encode = PartCoder(self._parts, REMEMBERED)
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _pieces(self, pieces: Sequence[str]) -> list[bytes]:
-        split = [self.words_of(p) for p in pieces]
-        new = set()
-        for words in split:
-            new.update(words)
-        if len(self.known) > self.encode.remembered:
-            self.known = {}
-        self._learn(sorted(new.difference(self.known)))
+    def _parts(self, one: list[str], other: list[str]) -> Iterator[tuple[str, bytes]]:
+        split = [self.words_of(p) for p in other]
+        self.known = {}
+        self._learn(sorted({w for words in split for w in words}.union(one)))
         find = self.known.__getitem__
-        return [b"".join(map(find, words)) for words in split]
+        yield from zip(one, map(find, one))
+        yield from ((p, b"".join(map(find, words))) for p, words in zip(other, split))
 
     def _learn(self, words: list[str]) -> None:
         rows: list[tuple[str, bytes]] = []

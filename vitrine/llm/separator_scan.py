@@ -34,7 +34,7 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_I
     """Write a flat file per task. A row per document: file, doc_no (its place in the file), doc_id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, number, n = LibraryCoder(tokenizer), TaskContext.get().partitionId(), 0
-        if end_id < len(coder.width):  # inside a text it would end it early
+        if end_id < coder.n_ids:  # inside a text it would end it early
             raise ValueError(f"the end id {end_id} is an id of the vocabulary")
         end = np.array([end_id], coder.type).tobytes()
         with Committed(folder, f"flat-{number:06d}.ids") as file:
