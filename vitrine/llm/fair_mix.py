@@ -1,14 +1,16 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations only.
 
-Documents of a source are shuffled by a seeded hash. A document's virtual finish time is its source's words up to
-and with it, divided by the source's target; sources thus advance side by side, each as fast as its target. A
-source whose target exceeds its size goes round again, at most ``repeats`` times. The order of the mix is the
-virtual finish time; at virtual time budget / sum of targets the budget is used up, and a document then in
-service gives the words served by then.
+Documents of a source are shuffled by a seeded hash. A document's virtual finish time is its source's words up to and
+with it, divided by the source's target; sources thus advance side by side, each as fast as its target. A source whose
+target exceeds its size goes round again, at most ``repeats`` times. All are range-sorted by virtual finish time;
+sums per range and the offsets that follow from them give the running total, and the mix ends where that reaches
+the budget, the sum of all targets. So that a long document can't push its source far off, one of more words than a
+``QUANTA``-th of the target is queued in quanta of that many words, as packets are; a source thus ends within a quantum of its target.
 
 A source may hold most rows, so no window has the source alone as its key: the hash also deals a source's
-documents into buckets, whose sums are added up first; running sums then go over one bucket of one source.
-Bucket sums are the only thing that is scanned per source, a few thousand rows.
+documents into buckets that follow its own count, whose sums are added up first; running sums then go over one bucket
+of one source. Bucket sums are the only thing that is scanned per source. A document that starts after its source's target
+can't be reached before the budget ends, and isn't sorted.
 
 Targets: sources in code point order (null last) weigh 1, 2, 3, repeating. They share the budget by weight; what a
 source can't take (``repeats`` times its size) is shared again among the others by weight, until none is above.
@@ -21,11 +23,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from vitrine.llm.common import tasks_of
 from vitrine.shared import run_folder, write_out
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents per bucket that the number of buckets aims at, and the limits of that number.
-BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 5_000, 16, 16_384
+#: Documents per bucket that the number of buckets of a source aims at.
+BUCKET_ROWS = 1_000
+QUANTA = 1_000
 
 
 def word_count(text: Column) -> Column:
@@ -65,33 +69,57 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def passes(docs: DataFrame, repeats: int = 3, seed: int = 0, budget_share: float = 1.0) -> DataFrame:
-    """A row per served pass of a document: its columns ``doc_id``, ``source``, ``size``, and source_size, target,
-    round (0, 1, ...), finish (virtual time), served (words). ``docs`` has doc_id, source, size, ``salt``
-    (what the shuffle hashes) and ``row``, which tells rows apart. ``budget_share``: how much of the sum of targets the mix takes.
+def queued(docs: DataFrame, repeats: int = 3, seed: int = 0) -> DataFrame:
+    """A row per quantum of each pass of a document: its columns and source_size, target, round (0, 1, ...), quantum,
+    words, finish (virtual time). ``docs`` has doc_id, source, size, ``salt`` (what the shuffle hashes) and ``row``, which tells
+    rows apart.
     """
-    sums = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goals = targets(sums, repeats)
-    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-docs.count() // BUCKET_ROWS)))
-    mixed = docs.withColumn("turn", F.xxhash64(F.lit(seed), "salt")).withColumn(
-        "bucket", F.pmod(F.shiftright("turn", 20), F.lit(buckets)))
+    sums = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    goals = targets(sums.drop("rows"), repeats).withColumnRenamed("source", "g")
+    goals = goals.join(sums.select(F.col("source").alias("of"), F.ceil(F.col("rows") / BUCKET_ROWS).alias("buckets")), _same("of", "g")).drop("of")
+    mixed = docs.withColumn("turn", F.xxhash64(F.lit(seed), "salt")).join(goals, _same("source", "g")).drop("g").withColumn(
+        "bucket", F.pmod(F.shiftright("turn", 20), F.col("buckets"))).drop("buckets")
     per_bucket = mixed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     in_source = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
         F.col("source").alias("s"), F.col("bucket").alias("b"),
         F.coalesce(F.sum("bucket_size").over(in_source), F.lit(0)).alias("offset"))
-    offsets = offsets.join(goals.withColumnRenamed("source", "g"), _same("s", "g")).drop("g")
     inside = Window.partitionBy("source", "bucket").orderBy("turn", "doc_id", "size", "row").rowsBetween(
         Window.unboundedPreceding, -1)
     placed = mixed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(offsets, _same("source", "s") & (F.col("bucket") == F.col("b"))).drop("s", "b")
     rounds = F.sequence(F.lit(0), F.lit(repeats - 1))
-    begin = F.col("round") * F.col("source_size") + F.col("offset") + F.col("inside")
-    end = F.floor(F.col("target") * budget_share + 1e-6)
-    served = F.least(F.col("size"), end - begin)
-    return (placed.where("size > 0").withColumn("round", F.explode(rounds)).where(begin < end)
-            .withColumn("served", served).withColumn("finish", (begin + F.col("size")) / F.col("target"))
-            .drop("turn", "salt", "bucket", "inside", "offset"))
+    passes = placed.where("size > 0").withColumn("round", F.explode(rounds)).withColumn(
+        "begin", F.col("round") * F.col("source_size") + F.col("offset") + F.col("inside")).where("begin < target")
+    most = F.greatest(F.lit(1), F.floor(F.col("target") / QUANTA)).cast("long")
+    reach = F.least(F.col("size").cast("double"), F.col("target") - F.col("begin"))
+    quanta = passes.withColumn("most", most).withColumn(
+        "quantum", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), F.ceil(reach / F.col("most"))).cast("long") - 1)))
+    before = F.col("quantum") * F.col("most")
+    return quanta.withColumn("words", F.least(F.col("most"), F.col("size") - before)).withColumn(
+        "finish", (F.col("begin") + before + F.col("words")) / F.col("target")).drop(
+        "salt", "bucket", "inside", "offset", "begin", "most")
+
+
+ORDER = ("finish", "source", "round", "turn", "doc_id", "row", "quantum")
+
+
+def mix_order(docs: DataFrame, folder: str, repeats: int = 3, seed: int = 0, budget_share: float = 1.0) -> DataFrame:
+    """The mix in its order: the queue range-sorted by virtual finish time and cut at the budget. Adds ``served`` (words).
+
+    ``budget_share``: how much of the sum of targets the mix takes.
+    """
+    ranged = queued(docs, repeats, seed).repartitionByRange(tasks_of(docs.sparkSession), *ORDER).sortWithinPartitions(*ORDER)
+    line = write_out(ranged.withColumn("part", F.spark_partition_id()), folder, "queue")
+    budget = int((docs.agg(F.sum("size")).first()[0] or 0) * budget_share + 1e-6)
+    sums = line.groupBy("part").agg(F.sum("words").alias("part_words"))
+    # one row per range: the only window without a key runs over these
+    ahead = sums.select(F.col("part").alias("p"), F.coalesce(F.sum("part_words").over(
+        Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    within = Window.partitionBy("part").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    met = line.join(ahead, F.col("part") == F.col("p")).where(F.col("ahead") < budget)
+    left = F.lit(budget) - F.col("ahead") - F.coalesce(F.sum("words").over(within), F.lit(0))
+    return met.withColumn("served", F.least(F.col("words"), left)).where("served > 0").drop("p", "ahead", "words", "part")
 
 
 def sized(docs: DataFrame, folder: str) -> DataFrame:
@@ -101,18 +129,12 @@ def sized(docs: DataFrame, folder: str) -> DataFrame:
     return write_out(rows, folder, "sizes")
 
 
-def mix_order(docs: DataFrame, repeats: int = 3, seed: int = 0) -> DataFrame:
-    """The mix in its order: the served passes, range-partitioned and sorted by virtual finish time."""
-    rows = sized(docs, run_folder(docs.sparkSession, "mix"))
-    order = ("finish", "source", "round", "row")
-    return passes(rows, repeats, seed).repartitionByRange(*order).sortWithinPartitions(*order)
-
-
 def taken(docs: DataFrame, repeats: int = 3, seed: int = 0) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken (its words in the mix), first_finish."""
-    rows = sized(docs, run_folder(docs.sparkSession, "mix"))
+    folder = run_folder(docs.sparkSession, "mix")
+    rows = sized(docs, folder)
     goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), repeats)
-    served = passes(rows, repeats, seed).groupBy("row").agg(
+    served = mix_order(rows, folder, repeats, seed).groupBy("row").agg(
         F.sum("served").alias("taken"), F.min("finish").alias("first_finish"))
     goals = goals.withColumnRenamed("source", "g")
     return rows.join(served, "row", "left").join(goals, _same("source", "g")).select(
@@ -128,6 +150,8 @@ def mixed_documents(docs: DataFrame, repeats: int = 3, seed: int = 0) -> DataFra
     sizes = write_out(keyed.select(
         "doc.doc_id", "doc.source", word_count(F.col("doc.text")).alias("size"),
         F.xxhash64("doc.doc_id", "doc.text").alias("salt"), "row"), folder, "sizes")
-    times = passes(sizes, repeats, seed).where("2 * served >= size").groupBy("row").agg(F.count("*").alias("times"))
+    passes = mix_order(sizes, folder, repeats, seed).groupBy("row", "round").agg(
+        F.sum("served").alias("served"), F.first("size").alias("size"))
+    times = passes.where("2 * served >= size").groupBy("row").agg(F.count("*").alias("times"))
     kept = keyed.join(times, "row").withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     return kept.select("doc.*")

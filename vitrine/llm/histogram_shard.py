@@ -1,13 +1,13 @@
 """Sharding by histogram sort, in DataFrame operations only.
 
-Rows have a sort key: hash of the text, then the id, then a number that tells equal rows apart, as hexadecimal
-digits; equal texts thus lie side by side. Splitters are to divide the bytes evenly. Each round counts the exact
+Rows have a sort key: hash of the text, then the id, as hexadecimal digits; equal texts thus lie side by side. Splitters are to divide the bytes evenly. Each round counts the exact
 bytes below candidate boundaries (the prefixes of one more step of digits, only inside the bins that still hold an
 unsettled splitter) over all partitions, and settles the splitters that come within the tolerance; few short rows
 reach the driver. A bin that can't be divided is given to the nearer side. Then the documents move once.
 
-Short prefixes are tried first, so copies of a text stay in one shard unless their group alone is larger than the
-tolerance allows; a group of any size is divided by id.
+A group of equal texts smaller than a mean shard is never divided: no probe looks beyond the text's hash while other
+texts share its bin, and a splitter that falls into such a group goes to the nearer side, at most half the group
+away. Only a group of a mean shard or more is divided by id (repeated rows of one id stay together).
 
 Within a shard, a second hash deals rows into parts of bounded bytes, so that places in a shard are numbered
 by many tasks: rows before the part plus the place in the part.
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from vitrine.llm.common import tasks_of
 from vitrine.shared import run_folder, write_out
 
-FIRST_DIGITS, MORE_DIGITS = 3, 2
+FIRST_DIGITS, MORE_DIGITS, TEXT_DIGITS = 3, 2, 16
 ROW_BYTES = 16
 PART_BYTES, LEAST_PARTS = 256 << 20, 8
 
@@ -36,8 +36,7 @@ def size_of(text: Column, row_bytes: int = ROW_BYTES) -> Column:
 
 def sort_key(text: Column, doc_id: Column) -> Column:
     digits = lambda number: F.lpad(F.hex(number), 16, "0")
-    return F.concat(digits(F.xxhash64(text)), F.coalesce(digits(doc_id.cast("long")), F.lit("")),
-                    digits(F.monotonically_increasing_id()))
+    return F.concat(digits(F.xxhash64(F.coalesce(text, F.lit("")))), F.coalesce(digits(doc_id.cast("long")), F.lit("")))
 
 
 def splitters(keys: DataFrame, shards: int, tolerance: float = 0.002) -> list[str]:
@@ -63,10 +62,12 @@ def splitters(keys: DataFrame, shards: int, tolerance: float = 0.002) -> list[st
                     k = wanted.pop(0)
                     goal = k * total / shards
                     short, over = goal - below, below + size - goal
-                    if min(short, over) <= allowed or low == high:
+                    one_text = low[:TEXT_DIGITS] == high[:TEXT_DIGITS]
+                    if min(short, over) <= allowed or low == high or (one_text and size < total / shards):
                         found[k] = name if short < over else name + "G"  # G follows the digits
                     else:
                         digits = len(commonprefix([low, high])) + MORE_DIGITS
+                        digits = digits if one_text else min(digits, TEXT_DIGITS)
                         after.setdefault(name, (below, digits, []))[2].append(k)
                 below += size
             for k in wanted:
