@@ -295,7 +295,8 @@ def _sql_score() -> str:
         WHEN tenths >= 150 THEN 10 WHEN tenths < 50 THEN -10 ELSE 0 END
       + 2 * {weight} - CASE WHEN {low} THEN 30 ELSE 0 END
       + CASE WHEN coupon_code IS NOT NULL THEN 7 ELSE 0 END + CASE WHEN free_shipping THEN 3 ELSE 0 END
-      - CASE WHEN length(title) BETWEEN 15 AND 200 THEN 0 ELSE 15 END)) AS DOUBLE)"""
+      - CASE WHEN length(title) BETWEEN 15 AND 200 THEN 0 ELSE 15 END
+      - CASE WHEN contains(title, '???') OR contains(title, '!!!') THEN 10 ELSE 0 END)) AS DOUBLE)"""
 
 
 SCORED_SQL = f"{OFFERS_SQL}, scored AS (SELECT *, {_sql_score()} AS score FROM offers_v)"

@@ -102,14 +102,14 @@ def _ratio_sql(c1, k1, c2, k2):
     return f"2.0 * (CASE WHEN {c1} = {c2} THEN 20 ELSE 0 END + least({k1}, {k2})) / (40 + {k1} + {k2})"
 
 
-_CUSTOMERS = """customers AS (SELECT c_custkey AS id, c_custkey * 7919 % 400 AS c, c_custkey % 10 AS k,
+_CUSTOMERS = """customers AS (SELECT c_custkey AS id, c_custkey * 7919 % 230 AS c, c_custkey % 10 AS k,
   'https://www.docs.example/' || c_nationkey || '/' || c_custkey % 97 AS link FROM customer)"""
 
 
 def _coded_customers(spark, sf):
     key = F.col("c_custkey")
     return table(spark, sf, "customer").select(
-        key.alias("id"), coded_title(key * 7919 % 400, key % 10).alias("title"),
+        key.alias("id"), coded_title(key * 7919 % 230, key % 10).alias("title"),
         F.concat(F.lit("https://www.docs.example/"), "c_nationkey", F.lit("/"), key % 97).alias("link"))
 
 
@@ -150,14 +150,14 @@ def titles_unlike_known(spark, sf):
     return titles.unlike_known(rows.filter("id % 3 <> 0"), rows.filter("id % 3 = 0")).select("id")
 
 
-@query(f"""WITH {_CUSTOMERS}, s AS (SELECT DISTINCT s_suppkey * 31 % 400 AS c, s_suppkey % 9 AS k FROM supplier),
+@query(f"""WITH {_CUSTOMERS}, s AS (SELECT DISTINCT s_suppkey * 31 % 230 AS c, s_suppkey % 9 AS k FROM supplier),
   a AS (SELECT DISTINCT c, k FROM customers)
   SELECT {_coded_sql('a.c', 'a.k')} AS norm, {_coded_sql('s.c', 's.k')} AS other_norm, CAST({_ratio_sql('a.c', 'a.k', 's.c', 's.k')} AS DOUBLE) AS ratio
   FROM a JOIN s ON (a.c <> s.c OR a.k <> s.k) AND {_ratio_sql('a.c', 'a.k', 's.c', 's.k')} >= 0.85""")
 def titles_similar_pairs(spark, sf):
     """J3, UD1: all pairs of different titles of customers and suppliers that resemble each other."""
     key = F.col("s_suppkey")
-    known = table(spark, sf, "supplier").select(normalize_title(coded_title(key * 31 % 400, key % 9)).alias("norm"))
+    known = table(spark, sf, "supplier").select(normalize_title(coded_title(key * 31 % 230, key % 9)).alias("norm"))
     return titles.similar_pairs(_coded_customers(spark, sf).select(normalize_title(F.col("title")).alias("norm")), known)
 
 
