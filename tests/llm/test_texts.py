@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -56,6 +57,48 @@ def test_pair_tables_find_an_interaction():
 
 
 # --- fingerprints -------------------------------------------------------------------
+def votes(text):
+    """The 64 sums of signed votes, in plain Python."""
+    import xxhash
+    words = text.lower().split()
+    sums = [0.0] * 64
+    for word in set(words):
+        value, weight = xxhash.xxh3_64_intdigest(word.encode()), 1 + math.log(words.count(word))
+        for k in range(64):
+            sums[k] += weight if value >> k & 1 else -weight
+    return sums
+
+
+def test_fingerprints_by_counting_votes(spark, hard, hard_rows):
+    got = {r["doc_id"]: r["fingerprint"] & (1 << 64) - 1 for r in simhash.fingerprints(hard.where("doc_id <> 8")).collect()}
+    clear = 0
+    for doc_id, text, *_ in hard_rows:
+        if doc_id in got and doc_id != 8 and len(text or "") < 50_000:
+            sums = votes(text or "")
+            for k, v in enumerate(sums):
+                if abs(v) > 1e-3 * (1 + max(map(abs, sums))):  # else rounding may decide
+                    assert (got[doc_id] >> k & 1) == (v > 0)
+                    clear += 1
+            assert any(sums) or got[doc_id] == 0
+    assert clear > 500
+
+
+@pytest.mark.parametrize("radius,blocks,tile", [(0, 2, 9), (3, 5, 2048), (3, 5, 16), (3, 6, 20), (5, 8, 16)])
+def test_counted_search(spark, monkeypatch, radius, blocks, tile):
+    """A large group of near values, loose ones, repeats and nulls; groups above the tile are cut once more."""
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng = random.Random(blocks)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    values = base + [base[0] ^ sum(1 << k for k in rng.sample(range(64), rng.randint(1, 4))) for _ in range(250)]
+    values += [base[1] ^ i for i in range(90)] + [0, 1, (1 << 64) - 1]
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    index = spark.createDataFrame([(v,) for v in signed + signed[:50] + [None, None]], "fingerprint long")
+    got = {r["fingerprint"]: r["near"] for r in simhash.count_within(index, radius, blocks).collect()}
+    once = set(signed)
+    want = {a: sum(a != b and ((a ^ b) & (1 << 64) - 1).bit_count() <= radius for b in once) for a in once}
+    assert got == {a: n for a, n in want.items() if n}
+
+
 def test_edit_likeness(hard, hard_rows, none):
     words = simhash.Words()
     order = sorted(hard_rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
@@ -76,6 +119,8 @@ def test_edit_likeness(hard, hard_rows, none):
             assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
             a, b, c = (simhash.fingerprint(x, words) & (1 << 64) - 1 for x in (t, edited, u))
             assert r["near_edited"] == 1 - (a ^ b).bit_count() / 64 and r["near_next"] == 1 - (a ^ c).bit_count() / 64
+    every = {int(r["fingerprint"], 16) for r in got}
+    assert all(r["near"] == sum(0 < (int(r["fingerprint"], 16) ^ f).bit_count() <= 3 for f in every) for r in got)
     assert simhash.edit_likeness(none).count() == 0
 
 
