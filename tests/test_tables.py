@@ -39,11 +39,26 @@ def test_best_coupon_equals_the_loop(spark):
     assert got.columns[-1] == "coupon_code" and got.count() == 60
 
 
+def test_price_series_of_a_hot_link_uses_many_ranges(spark):
+    start, chance = datetime(2024, 1, 1), random.Random(3)
+    rows = [("hot" if n % 3 else f"l{n % 40}", Decimal(chance.randint(10, 99)) if n % 17 else None, start + timedelta(minutes=n)) for n in range(600)]
+    frame = spark.createDataFrame(rows, "link string, price decimal(12,2), recorded_at timestamp").repartition(3)
+    got = {(r.link, r.recorded_at): (r.lowest_so_far, r.previous_price) for r in history.price_series(frame, parts=9).collect()}
+    low, last, want = {}, {}, {}
+    for link, price, at in rows:
+        low[link] = min((p for p in (low.get(link), price) if p is not None), default=None)
+        want[link, at] = (low[link], last.get(link))
+        last[link] = price
+    assert got == want
+    dealt = frame.repartitionByRange(9, "link", "recorded_at").withColumn("part", F.spark_partition_id())
+    assert dealt.filter("link = 'hot'").select("part").distinct().count() >= 5
+
+
 def test_price_series_with_slices(spark):
     start, chance = datetime(2024, 1, 1), random.Random(2)
     rows = [("l", Decimal(chance.randint(10, 99)), start + timedelta(days=3 * n)) for n in range(60)]
     frame = spark.createDataFrame(rows, "link string, price decimal(12,2), recorded_at timestamp")
-    got = history.price_series(frame, slice_days=10).orderBy("recorded_at").collect()
+    got = history.price_series(frame, parts=5).orderBy("recorded_at").collect()
     prices = [r[1] for r in rows]
     assert [r.lowest_so_far for r in got] == [min(prices[:n + 1]) for n in range(60)]
     assert [r.previous_price for r in got] == [None, *prices[:-1]]

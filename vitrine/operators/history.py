@@ -132,32 +132,35 @@ def prices_of(prices: DataFrame, links: DataFrame) -> DataFrame:
         "link", "price", "recorded_at").repartition("link").sortWithinPartitions("link", "recorded_at")
 
 
-def price_series(prices: DataFrame, order: Sequence = ("recorded_at",), slice_days: int = 30) -> DataFrame:
+def price_series(prices: DataFrame, order: Sequence = ("recorded_at",), parts: int | None = None) -> DataFrame:
     """W7. Every observation with the lowest price so far and the change to the one before.
 
-    One link may hold a large part of all observations, so the series is cut into time slices: each
-    slice is a window group of its own and takes the state of the earlier ones (lowest and last price)
-    from a small per-slice summary. Rows without a link are one series; rows without a time come first in theirs.
+    One link may hold a large part of all observations, so this is a prefix scan over ranges: observations are dealt out by
+    link and order, as many ranges as shuffle partitions (or ``parts``), so that a hot link lies in many of them. Each
+    range gives one row per link (lowest and last price), from which what earlier ranges hand on is known; then every range is
+    worked off by itself. Rows without a link are one series; rows without a time come first in theirs.
     """
-    number = F.floor(F.unix_seconds(F.col("recorded_at").cast("timestamp")) / (86400 * slice_days))
-    cut = prices.withColumn("_slice", number)
-    marks = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
-    summary = cut.groupBy("link", "_slice").agg(
-        F.min("price").alias("_low"), F.max_by("price", marks).alias("_last"))
-    over_slices = Window.partitionBy("link").orderBy("_slice")
+    spark = prices.sparkSession
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranges = parts or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    dealt = prices.repartitionByRange(ranges, "link", *columns).withColumn("_part", F.spark_partition_id())
+    cut = write_out(dealt, run_folder(spark, "series"), "ranges")
+    last = F.max_by(F.struct("price"), F.struct(*columns))["price"]
+    summary = cut.groupBy("link", "_part").agg(F.min("price").alias("_low"), last.alias("_last"))
+    over = Window.partitionBy("link").orderBy("_part")
     carried = summary.select(
-        "link", "_slice",
-        F.min("_low").over(over_slices.rowsBetween(Window.unboundedPreceding, -1)).alias("_low_before"),
-        F.lag("_last").over(over_slices).alias("_last_before"))
-    inside = Window.partitionBy("link", "_slice").orderBy(*order)
-    carried = carried.withColumnsRenamed({"link": "_link", "_slice": "_of"})
-    met = cut.join(carried, F.col("link").eqNullSafe(F.col("_link")) & F.col("_slice").eqNullSafe(F.col("_of")))
+        F.col("link").alias("_link"), F.col("_part").alias("_of"),
+        F.min("_low").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_low_before"),
+        F.lag("_last").over(over).alias("_last_before"))
+    met = cut.join(carried, F.col("link").eqNullSafe(F.col("_link")) & (F.col("_part") == F.col("_of")))
+    inside = Window.partitionBy("link", "_part").orderBy(*columns)
     return (
         met
         .withColumn("lowest_so_far", F.least(
             F.min("price").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("_low_before")))
-        .withColumn("previous_price", F.coalesce(F.lag("price").over(inside), F.col("_last_before")))
+        .withColumn("_first", F.row_number().over(inside) == 1)
+        .withColumn("previous_price", F.when(F.col("_first"), F.col("_last_before")).otherwise(F.lag("price").over(inside)))
         .withColumn("change", F.col("price") - F.col("previous_price"))
         .withColumn("at_lowest", F.col("price") == F.col("lowest_so_far"))
-        .drop("_slice", "_low_before", "_last_before", "_link", "_of")
+        .drop("_part", "_low_before", "_last_before", "_first", "_link", "_of")
     )
