@@ -8,7 +8,7 @@ from checks.offers_view import ARRIVAL, ARRIVAL_SQL, OFFERS_SQL, offers_view
 from checks.payload_queries import _numbers, _obj, _tag
 from checks.registry import query
 from vitrine.functions import text
-from vitrine.sources import collect
+from vitrine.sources import collect, templates
 from vitrine.sources.collect import Limits
 
 # Numbers begin with one, as a zero counts as no id.
@@ -143,3 +143,26 @@ def source_aliexpress(spark, sf):
     pages = _pages(offers.filter("l_linenumber = 1"), "aliexpress", F.concat(block, F.lit(","), coupon), "html", begin, ",", end).unionByName(
         _pages(offers.filter("l_linenumber > 1"), "aliexpress", block, "html", begin, ",", end, url="https://feed.example/wholesale-"))
     return _numbers(collect.aliexpress(pages), "batch_id", "key", "title", "price", "tier", "coupon_code")
+
+
+# --- a site described by rows -----------------------------------------------------------------------------
+_TEMPLATE = (
+    ("nova", "card", 1, "section > .offer", None, None), ("nova", "title", 1, "h2.name", None, None), ("nova", "title", 2, "h3", None, None),
+    ("nova", "link", 1, "a[href*='/p/']", "href", "absolute:https://nova.example"), ("nova", "price", 1, ".prices > b", None, None),
+    ("nova", "original_price", 1, ".prices s", None, None), ("nova", "discount_pct", 1, "[data-off]", "data-off", None),
+    ("nova", "coupon_code", 1, "em.coupon", None, None), ("nova", "free_shipping", 1, ".free", None, None))
+
+
+@query(f"""{OFFERS_SQL} SELECT 'https://nova.example/p/' || oid AS link, title, price_cents / 100.0::DOUBLE AS price, original_cents / 100.0::DOUBLE AS original_price,
+  l_linenumber::DOUBLE AS discount_pct, coupon_code, free_shipping FROM offers_v""")
+def template_cards(spark, sf):
+    """UD2: a new site as a table of rows; all selectors in one walk over each page."""
+    card = F.concat(
+        F.lit('<div class="offer x">'), F.when(F.col("l_linenumber") % 2 == 0, _tag("h2", F.col("title"), 'class="name"')).otherwise(_tag("h3", F.col("title"))),
+        F.lit('<p><a href="/x">no</a><a href="/p/'), F.col("oid"), F.lit('">buy</a></p><div class="prices">'), _tag("s", text.brl(F.col("original_price"))),
+        _tag("b", text.brl(F.col("price"))), F.lit('</div><i data-off="-'), F.col("l_linenumber"), F.lit('%">off</i>'),
+        F.when(F.col("coupon_code").isNotNull(), _tag("em", F.col("coupon_code"), 'class="coupon"')).otherwise(""),
+        F.when(F.col("free_shipping"), '<u class="free">gr&aacute;tis</u>').otherwise(""), F.lit("</div>"))
+    pages = _pages(offers_view(spark, sf), "nova", card, "html", "<html><body><section>", "\n", "</section><div class='offer'>no</div></body></html>")
+    found = templates.template_cards(pages, spark.createDataFrame(list(_TEMPLATE), templates.TEMPLATES))
+    return _numbers(found, "link", "title", "price", "original_price", "discount_pct", "coupon_code", "free_shipping")
