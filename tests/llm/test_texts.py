@@ -83,7 +83,7 @@ def test_fingerprints_by_counting_votes(spark, hard, hard_rows):
     assert clear > 500
 
 
-@pytest.mark.parametrize("radius,blocks,tile", [(0, 2, 9), (3, 5, 2048), (3, 5, 16), (3, 6, 20), (5, 8, 16)])
+@pytest.mark.parametrize("radius,blocks,tile", [(0, 2, 9), (3, 5, 2048), (3, 5, 16), (3, 6, 20), (5, 8, 2048)])
 def test_counted_search(spark, monkeypatch, radius, blocks, tile):
     """A large group of near values, loose ones, repeats and nulls; groups above the tile are cut once more."""
     monkeypatch.setattr(simhash, "TILE", tile)
