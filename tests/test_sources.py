@@ -194,3 +194,32 @@ def test_raw_payloads_to_published_offers(spark, page, tmp_path):
     for _ in range(2):
         append_runs(result.runs, f"{tmp_path}/runs", F.lit(7))
     assert spark.read.parquet(f"{tmp_path}/runs").count() == 2
+
+
+def test_plain_pages_give_the_nodes_of_the_parser():
+    from vitrine.functions.html import _Flattener, _plain
+    plain = ('<html><body><!-- c --><a HREF="/x?a=1&amp;b=2" hidden>t&aacute;<br/>u</A></x>v<p class="b  c">&copy; 1</p>'
+             '<template>no</template><img src="<i>">end &amp')
+    for page_text in (plain, "", "<p>one<p>two</p>"):
+        parser = _Flattener()
+        parser.feed(page_text)
+        assert _plain(page_text) == parser.finish()
+    for odd in ("a < b", "<p x=1>", "<script>1<2</script>", "<!doctype html>", "<a x='1'>"):
+        assert _plain(odd) is None
+
+
+def _seconds(frame):
+    import time
+    start = time.time()
+    return frame.count(), time.time() - start
+
+
+def test_time_of_a_card_page_grows_with_its_nodes(page):
+    """Selectors with ancestors, and texts beside a link, looked at the whole page again for every card."""
+    shown = '<span class="a-price" data-a-size="xl"><span class="a-offscreen">R$ 1.099,90</span></span></div>'
+    body = "".join(f'<div data-asin="B{i:09d}" class="s-result-item"><h2><a href="/x"><span>A title long enough {i}</span></a></h2>{shown}' for i in range(1500))
+    found, took = _seconds(cards.amazon_cards(page(body), most=None))
+    assert found == 1500 and took < 30
+    links = "<div>" + "".join(f'<a href="/d/{i}">ver</a><p>A title long enough {i}</p>' for i in range(1500)) + "</div>"
+    found, took = _seconds(cards.deal_links(page(links)))
+    assert found == 1500 and took < 30
