@@ -64,3 +64,15 @@ def test_unlike_known(spark):
     assert sorted(r["id"] for r in titles.unlike_known(offers, known).collect()) == [3, 4, 6]
     nothing = known.filter("k > 9")
     assert titles.unlike_known(offers, nothing).count() == 6 and titles.unlike_known(offers.filter("id > 9"), known).count() == 0
+
+
+def test_titles_with_a_long_run_in_common_meet_in_few_pairs(spark):
+    """The run is most of a title's 3-grams, so every title met every other on it."""
+    all_titles = [chr(0x4E00 + n // 4) * 20 + "x" * (22 + n * 3 % 8) for n in range(1200)]
+    rows = lambda part: spark.createDataFrame([(t,) for t in sorted(set(part))], "norm string").selectExpr("norm", "xxhash64(norm) id")
+    new, known = rows(all_titles[::2]), rows(all_titles[1::2])
+    plan, frequencies = titles._cheapest(new, known, 0.85)
+    assert titles._meetings(new, known, plan, frequencies) < 100 * len(all_titles)
+    got = {(r.norm, r.other_norm) for r in titles.similar_pairs(new, known, 0.85).collect()}
+    want = {(a, b) for a in set(all_titles[::2]) for b in set(all_titles[1::2]) if a[0] == b[0] and a != b and SequenceMatcher(None, a, b).ratio() >= 0.85}
+    assert got == want and got

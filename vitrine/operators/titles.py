@@ -14,7 +14,8 @@ must fulfil leaves few to compare.
   least one character (pair) without a partner, and at most T - 2M (three times as many) may lack one.
 
 All four are necessary conditions, so nothing is lost; what is left is compared once. Short titles have too few long
-grams: 3-grams serve pairs whose shorter title is long enough, 2-grams and single characters the rest.
+grams: 3-grams serve pairs whose shorter title is long enough, 2-grams and single characters the rest. Where fewer pairs meet
+without the long grams (titles with long runs in common), these are left out.
 
 The order of grams needs their frequencies, kept as sums over ``BUCKETS`` hash buckets, a table of fixed size. A gram
 of which there are more than ``POSTINGS`` is dealt to several tasks by the known title. Equal titles are
@@ -58,12 +59,12 @@ def common_grams(n: int, m: int, q: int, threshold: float) -> int:
 class Plan:
     """Which grams serve which lengths: ``least[q]`` is the shorter title's length from which on q-grams do."""
 
-    def __init__(self, threshold: float):
+    def __init__(self, threshold: float, sizes: tuple[int, ...] = (3, 2, 1)):
         if not 0 < threshold <= 1:
             raise ValueError("the threshold lies between 0 and 1")
         self.threshold, self.least = threshold, {}
         above = None  # lengths from here on are served by longer grams
-        for q in (3, 2, 1):
+        for q in sizes:
             # two common grams at least are asked of long grams, else they would hardly be rarer than short ones
             fits = [n for n in range(1, LONGEST + 1) if common_grams(n, n, q, threshold) < (1 if q == 1 else 3)]
             start = 1 if q == 1 else max(fits, default=0) + 1
@@ -147,6 +148,50 @@ def _frequencies(norms: DataFrame, plan: Plan) -> np.ndarray:
     return out
 
 
+def _first_grams(titles: list[str], plan: Plan, frequencies: np.ndarray) -> Iterator[tuple[int, Grams, np.ndarray]]:
+    """Per size of gram the grams of a batch and the places of those to be indexed, the rarest of every title."""
+    for q in plan.least:
+        grams = Grams(titles, q)
+        common = np.array([plan.common(int(n), q) for n in grams.sizes], np.int64)
+        order = np.lexsort((grams.token, frequencies[grams.bucket()], grams.owner))
+        owner = grams.owner[order]
+        own = np.bincount(owner, minlength=len(titles))
+        rank = np.arange(len(owner)) - (np.cumsum(own) - own)[owner]
+        yield q, grams, order[(common[owner] > 0) & (rank < own[owner] - common[owner] + 1)]
+
+
+def _meetings(new: DataFrame, known: DataFrame, plan: Plan, frequencies: np.ndarray) -> float:
+    """How many pairs of indexed grams would meet, by buckets."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            titles = _titles_of(batch)
+            if titles:
+                for _, grams, kept in _first_grams(titles, plan, frequencies):
+                    total += np.bincount(grams.bucket()[kept], minlength=BUCKETS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
+
+    def counts(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("norm").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").cast("double").alias(name))
+
+    met = counts(new, "a").join(counts(known, "b"), "bucket").agg(F.sum(F.col("a") * F.col("b"))).first()[0]
+    return met or 0.0
+
+
+def _cheapest(new: DataFrame, known: DataFrame, threshold: float) -> tuple[Plan, np.ndarray]:
+    """The plan under which the fewest grams meet, with its frequencies. Long grams are rarer, but more of them must be
+    indexed; titles that share a long run meet on it, and would do so in pairs without end."""
+    plans = {tuple(p.least): p for p in (Plan(threshold, sizes) for sizes in ((3, 2, 1), (2, 1), (1,)))}
+    best = None
+    for plan in plans.values():
+        frequencies = _frequencies(new.select("norm").union(known.select("norm")), plan)
+        met = _meetings(new, known, plan, frequencies)
+        if best is None or met < best[0]:
+            best = met, plan, frequencies
+    return best[1:]
+
+
 def _index(norms: DataFrame, plan: Plan, frequencies: np.ndarray, known: bool) -> DataFrame:
     """A row per indexed gram of each title. The known side of a common gram is dealt out, the other one copied."""
     parts = -(-frequencies // POSTINGS)
@@ -158,16 +203,8 @@ def _index(norms: DataFrame, plan: Plan, frequencies: np.ndarray, known: bool) -
                 continue
             ids = batch.column("id").to_numpy()
             signs = np.hstack([Grams(titles, q).parities() for q in (1, 2)])
-            for q in plan.least:
-                grams = Grams(titles, q)
-                common = np.array([plan.common(int(n), q) for n in grams.sizes], np.int64)
-                bucket = grams.bucket()
-                order = np.lexsort((grams.token, frequencies[bucket], grams.owner))
-                owner = grams.owner[order]
-                own = np.bincount(owner, minlength=len(titles))
-                rank = np.arange(len(owner)) - (np.cumsum(own) - own)[owner]
-                kept = order[(common[owner] > 0) & (rank < own[owner] - common[owner] + 1)]
-                deal = parts[bucket[kept]]
+            for q, grams, kept in _first_grams(titles, plan, frequencies):
+                deal = parts[grams.bucket()[kept]]
                 if known:
                     salt = (_mixed(ids[grams.owner[kept]].astype(np.uint64)) % np.maximum(deal, 1).astype(np.uint64)).astype(np.int64)
                 else:
@@ -184,9 +221,8 @@ def _index(norms: DataFrame, plan: Plan, frequencies: np.ndarray, known: bool) -
 
 def _candidates(new: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     """Pairs of indexed titles that fulfil the necessary conditions: id, other."""
-    plan = Plan(threshold)
     left, right = new, known
-    frequencies = _frequencies(left.select("norm").union(right.select("norm")), plan)
+    plan, frequencies = _cheapest(left, right, threshold)
     a = _index(left, plan, frequencies, known=False).alias("a")
     b = _index(right, plan, frequencies, known=True).alias("b")
     total = F.col("a.n") + F.col("b.n")
