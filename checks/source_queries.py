@@ -19,12 +19,12 @@ _O = f"""{OFFERS_SQL}, o AS (SELECT *, l_orderkey // 16 AS b, l_linenumber - 1 A
 
 
 def _pages(offers, store, piece, kind, before="", between="", after="", url="https://feed.example/"):
-    pieces = F.array_sort(F.collect_list(F.struct(*ARRIVAL, piece.alias("piece"))))
+    pieces = F.sort_array(F.collect_list(F.struct(*ARRIVAL, piece.alias("piece"))))
     return offers.groupBy(F.expr(BATCH).alias("batch_id"), (F.col("l_linenumber") - 1).cast("int").alias("page_rank")).agg(
         pieces.alias("pieces")).select(
         F.col("batch_id").cast("long"), F.lit(store).alias("store"), F.concat(F.lit(url), F.col("page_rank")).alias("page_url"), "page_rank",
         F.lit(None).cast("timestamp").alias("fetched_at"), F.lit(kind).alias("kind"),
-        F.concat(F.lit(before), F.array_join(F.transform("pieces", lambda p: p["piece"]), between), F.lit(after)).alias("body"))
+        F.concat(F.lit(before), F.array_join(F.col("pieces.piece"), between), F.lit(after)).alias("body"))
 
 
 def _first(tier: str, key: str, order: str = "page, tier, pos") -> str:
