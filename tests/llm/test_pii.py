@@ -120,3 +120,27 @@ def test_a_span_longer_than_the_reach_of_its_trigger_is_whole():
     whole = [("email", text.find(local), text.find(" or call"))]
     assert pii.find_batch(field, [text, "", text * 3])[0] == ([], whole)
     assert len(local) > pii.REACH
+
+
+def test_a_span_without_any_trigger_is_found(field):
+    text = "please write to anna_lee at example.com today"
+    assert list(pii.sequences(text)) == []
+    assert pii.find_batch(field, ["", text, "bob at mail.org", " \n", text])[1:3] == [([], [("email", 16, 39)]), ([], [("email", 0, 15)])]
+
+
+def test_labels_are_those_of_the_best_path_of_the_whole_text(field):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(t for t, _ in pii.labelled_rows(12, seed=s)) for s in range(30)] + ["", " \n ", "a", "5", "x at y.z", "word " * 500]
+    wild = pii.Field(18)
+    wild.emit, wild.move, wild.begin = rng.standard_normal(wild.emit.shape), rng.standard_normal((9, 9)), rng.standard_normal(9)
+    wild.emit[:, :, 0] += 0.7
+    for some in (field, wild):
+        tokens = pii.Tokens()
+        for text in texts:
+            tokens.add(text)
+        got, scores = some.decode(tokens), some.scores(pii.places_of(tokens.codes()))
+        assert [b - a for a, b in tokens.bounds] == [len(pii.token_spans(t)) for t in texts]
+        for a, b in tokens.bounds:
+            if b > a:
+                assert (got[a:b] == some.viterbi(scores[None, a:b], np.array([b - a]))[0]).all()
+        assert got.any()
