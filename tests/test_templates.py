@@ -84,3 +84,37 @@ def test_offers_of_a_new_site(spark, page):
     got = templates.template_cards(pages, table).collect()
     assert [(r["store"], r["title"], r["link"], float(r["price"])) for r in sorted(got, key=lambda r: r["pos"])] == [
         ("nova", "Mouse gamer", "/p/1", 20.0), ("nova", "Teclado", "https://other/p/2", 7.0)]
+
+
+def test_a_plain_page_is_read_in_one_pass_without_the_parser(monkeypatch):
+    from vitrine.functions import html
+    page = "<section>" + "".join(f"<div class='c'><b>Item {i}</b><a HREF='/p/{i}?a=1&amp;b=2'>x</a></div>\n" for i in range(50)) + "</section>"
+    template = Template([("card", 1, "section > .c", None, None), ("title", 1, "b", None, None), ("link", 1, "a[href^='/p/']", "href", None)])
+    monkeypatch.setattr(html._Flattener, "feed", lambda *_: pytest.fail("the parser was asked"))
+    assert template(page) == [{"title": f"Item {i}", "link": f"/p/{i}?a=1&b=2"} for i in range(50)]
+
+
+def test_one_pass_gives_the_nodes_and_hits_of_the_parser():
+    from vitrine.functions.html import _Flattener
+    chance, matcher = random.Random(9), Matcher(["div", ".a", "div > b", "a[href*='/p']", "#x span", "[hidden]", "div .a > a"])
+    names = ["div", "a", "b", "span", "br", "template"]
+    attrs = ['class="a"', "class='b a'", 'href="/p/1?x=1&amp;y=2"', "href='q'", "id='x'", 'hidden', "title='a>b'", 'alt="<"', "z=''"]
+    texts = ["t", " ", "\n", "a &amp; b", "&eacute", "<!-- c -->", "</a>", "é", "\"'"]
+    odd = ["a < b", "<!doctype html>", "<p x=1>", "<script>1<2</script>", "<!-- it's -- -->"]
+
+    def tree(depth, texts):
+        if not depth or chance.random() < 0.2:
+            return chance.choice(texts)
+        tag, own = chance.choice(names), " ".join(chance.sample(attrs, chance.randint(0, 3)))
+        inner = "".join(tree(depth - 1, texts) for _ in range(chance.randint(0, 4)))
+        return f"<{tag} {own}{'/' * (chance.random() < 0.1)}>{inner}" + f"</{tag}>" * (chance.random() < 0.9)
+
+    for i in range(600):
+        page = "".join(tree(4, texts + odd * (i % 2)) for _ in range(3))
+        parser = _Flattener()
+        parser.feed(page)
+        nodes = parser.finish()
+        got, found = matcher.read(page)
+        assert [list(row) for row in zip(*got)] == [[n[k] for k in ("tag", "text", "attrs", "parent", "last")] for n in nodes], page
+        assert found == [brute(nodes, s) for s in ("div", ".a", "div > b", "a[href*='/p']", "#x span", "[hidden]", "div .a > a")]
+        assert i % 2 or matcher._read_plain(page) is not None

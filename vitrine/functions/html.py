@@ -140,6 +140,34 @@ def _plain(page: str) -> list[dict] | None:
     return nodes
 
 
+# a page cut at its tags; what is no plain tag, with attributes in quotes of either kind, is told by ``tag_of``
+PIECES = re.compile(r"""<!--[^->]*-->|<[^<>"']*(?:(?:"[^"]*"|'[^']*')[^<>"']*)*>|[^<]+|<""")
+_TAG = re.compile(
+    rf"""<({_NAME})((?:{_BLANK}+[A-Za-z_][A-Za-z0-9_-]*(?:="[^"]*"|='[^']*')?)*){_BLANK}*(/?)>|</({_NAME}){_BLANK}*>|(<!--[^->]*-->)""")
+_PAIR = re.compile(r"""([A-Za-z_][A-Za-z0-9_-]*)(?:="([^"]*)"|='([^']*)')?""")
+OPENS, ALONE, CLOSES, SAYS_NOTHING = range(4)
+
+
+def tag_of(piece: str) -> tuple[int, str, dict[str, str]] | None:
+    """What a piece of plain mark-up does, the name and the attributes of its tag; none for anything that needs the parser."""
+    m = _TAG.fullmatch(piece)
+    if m is None:
+        return None
+    name, source, closed, ended, _ = m.groups()
+    if ended:
+        return CLOSES, ended.lower(), {}
+    if not name:
+        return SAYS_NOTHING, "", {}
+    name = name.lower()
+    if name in _RAW_TEXT:
+        return None
+    attrs = {}
+    for key, double, single in _PAIR.findall(source):
+        value = double or single
+        attrs[key.lower()] = unescape(value) if "&" in value else value
+    return ALONE if closed or name in VOID else OPENS, name, attrs
+
+
 def _flatten(page):
     if page is None:
         return []
