@@ -59,3 +59,40 @@ def test_first_wins_survives_restarts(spark, tmp_path):
         own = spark.createDataFrame([r for r in rows if r[1] == store], schema)
         want |= {r["id"]: r["verdict"] for r in first_wins(own, ["id"], horizon=5).collect()}
     assert got == want and {"accepted", "same_link", "similar_title"} == set(got.values())
+
+
+def test_a_key_has_one_timer_however_many_rows_wait():
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    class State:
+        def __init__(self):
+            self.rows, self.one, self.timers, self.reads = [], None, [], 0
+        getListState = getValueState = lambda self, *_: self
+        def registerTimer(self, ms): self.timers.append(ms)
+        def appendList(self, rows): self.rows += rows
+        def put(self, rows): self.rows = list(rows)
+        def get(self): return self.rows
+        def exists(self): return bool(self.rows)
+        def clear(self): self.rows = []
+
+    class Value(State):
+        def exists(self): return self.one is not None
+        def get(self): return self.one
+        def update(self, one): self.one = one
+        def clear(self): self.one = None
+
+    class Now:
+        def __init__(self, ms): self.ms = ms
+        def getCurrentWatermarkInMs(self): return self.ms
+
+    schema = T._parse_datatype_string("k string, at timestamp, i int")
+    made = stateful._EventOrder(schema, "k", "at", ["at", "i"], 60)
+    made.handle = made.waiting = state = State()
+    made.accepted = Value()
+    ms = lambda minutes: int(pd.Timestamp(START + timedelta(minutes=minutes)).value // 1_000_000)
+    rows = pd.DataFrame([("a", START + timedelta(minutes=m), m) for m in (5, 3, 9, 4, 8, 30)], columns=["k", "at", "i"])
+    assert list(made.handleInputRows(("a",), iter([rows]), Now(0))) == [] and state.timers == [ms(3)]
+    out = pd.concat(made.handleExpiredTimer(("a",), Now(ms(8)), None))
+    assert list(out["i"]) == [3, 4, 5, 8] and [r[2] for r in state.rows] == [9, 30] and ms(9) in state.timers
+    assert list(pd.concat(made.handleExpiredTimer(("a",), Now(ms(40)), None))["i"]) == [9, 30] and state.rows == []

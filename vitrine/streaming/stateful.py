@@ -57,6 +57,10 @@ class _EventOrder(StatefulProcessor):
     def _micros(self, row: tuple) -> int:
         return pd.Timestamp(row[self.at]).value // 1000
 
+    def _wake(self, rows: list[tuple], watermark: int) -> None:
+        """One timer, for the first of the rows: when it rings, the next one is set for what still waits."""
+        self.handle.registerTimer(max(-(-min(map(self._micros, rows)) // 1000), watermark + 1))
+
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=self.schema.fieldNames())
 
@@ -69,8 +73,7 @@ class _EventOrder(StatefulProcessor):
                 (passed if key[0] is None or row[self.at] is None else held).append(row)
             if held:
                 self.waiting.appendList(held)
-                for ms in {-(-self._micros(r) // 1000) for r in held}:
-                    self.handle.registerTimer(max(ms, timerValues.getCurrentWatermarkInMs() + 1))
+                self._wake(held, timerValues.getCurrentWatermarkInMs())
         if passed:
             yield self._frame(passed)
 
@@ -79,9 +82,11 @@ class _EventOrder(StatefulProcessor):
         held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
         due = sorted((r for r in held if self._micros(r) <= now), key=lambda r: tuple(
             (r[i] is not None, r[i]) for i in self.order))
-        if len(due) < len(held):
-            self.waiting.put([r for r in held if self._micros(r) > now])
-        elif held:
+        if due and len(due) < len(held):
+            later = [r for r in held if self._micros(r) > now]
+            self.waiting.put(later)
+            self._wake(later, now // 1000)
+        elif due:
             self.waiting.clear()
         last = self.accepted.get()[0] if self.accepted.exists() else None
         out, before = [], last
